@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import packing, secrets, sharding, token_output
+from tidewell.llm import packing, secrets, sharding, token_counts, token_output, toxicity
 from tidewell.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    grammar = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held = toxicity.held_out().alias("held_out")
+    return toxicity.score(docs, grammar).select("doc_id", held, "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document goes: doc_id, slot, shard."""
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
@@ -35,5 +42,10 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_packing, op6_token_output, op8_secret_scans)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens and unigram tokens of each document: doc_id, n_words, n_tokens."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_packing, op6_token_output, op8_secret_scans, op9_token_counts)}
 SQL: dict[str, str] = {}

@@ -153,18 +153,18 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
 def scan(docs: DataFrame, rules: list[Rule] = RULES, key: str = "doc_id") -> DataFrame:
     """docs with ``found``: array of (start, rank, end) in order of start, then rank (the rule's place in rules)."""
     hits = materialize(candidates(postings(docs, rules, key), rules, key), "candidates")
-    k = "candidate_key"
-    joined = docs.join(maybe_broadcast(hits.withColumnRenamed(key, k)), F.col(key).eqNullSafe(F.col(k)), "left")
+    k, kinds = "_candidate_key", "_candidate_kinds"
+    joined = docs.join(maybe_broadcast(hits.select(F.col(key).alias(k), F.col("kinds").alias(kinds))), F.col(key).eqNullSafe(F.col(k)), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     each = []
     for rank, rule in enumerate(rules):
-        could = F.array_contains("kinds", F.lit(rule.kind)) if trigram_query(rule.pattern) else F.lit(True)
+        could = F.array_contains(kinds, F.lit(rule.kind)) if trigram_query(rule.pattern) else F.lit(True)
         if rule.pattern == r"[0-9a-f]+":  # a run is taken whole, so only runs that are long enough need be looked at
             rule = Rule(rule.kind, r"[0-9a-f]{%d,}" % rule.least, 0, rule.least, rule.base)
         could = F.coalesce(could, F.lit(False)) & F.regexp_like(text, F.lit(rule.pattern))
         each.append(F.when(could, _spans(text, rule, rank)).otherwise(none))
-    return joined.drop("kinds", k).withColumn("found", F.array_sort(F.concat(*each)))
+    return joined.withColumn("found", F.array_sort(F.concat(*each))).drop(k, kinds)
 
 
 def rendered(found: Column, rules: list[Rule] = RULES, base: bool = False) -> Column:
