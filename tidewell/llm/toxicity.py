@@ -119,7 +119,7 @@ class Grammar:
     def features(self, text: str) -> np.ndarray:
         x = np.zeros(len(RULES))
         for rule, weight in self.clauses(text):
-            x[rule] += min(weight, 8.0) / 4
+            x[rule] += (min(weight, 8.0) / 4) ** 2
         return np.log1p(x)
 
     def score(self, text: str) -> float:
