@@ -38,7 +38,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back: work is done once, and a lost executor loses nothing of it."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,6 +18,7 @@ unparsable url has no host and so no wrapper.
 
 from __future__ import annotations
 
+import json
 import re
 from html.parser import HTMLParser
 
@@ -26,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.llm.common import maybe_broadcast, materialize
 
@@ -232,72 +234,86 @@ def aligned(root: Node, pivot: Shape | None) -> list[tuple[str, str | None]]:
     return [(t, pairs.get("".join(f"/{x}" for x in path[:-1]))) for t, _, path in blocks]
 
 
-def hash_of(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
+def dump(shape: Shape) -> list:
+    return [shape.tag, [dump(p) for p in shape.parts]]
+
+
+def load(tree: list, slot: str = "") -> Shape:
+    shape = Shape(tree[0], [], slot)
+    shape.parts = [load(p, f"{slot}/{p[0]}{i}") for i, p in enumerate(tree[1])]
+    shape.size = 1 + sum(p.size for p in shape.parts)
+    return shape
+
+
+def block_hash(slot: str, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{slot}\0{text}") - (1 << 63)
 
 
 def with_host(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)).alias("host"))
+    """page_id, url, html and a hash of the host, null if the url names none."""
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
+    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.when(host != "", F.xxhash64(host)).alias("host"))
 
 
-def pivots(pages: DataFrame) -> DataFrame:
-    """host, pivot_html: one page of each host that has enough of them."""
-    place = F.xxhash64("page_id", "url")
-    hosts = pages.where("host != ''").groupBy("host").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
+def pivots(pages: DataFrame, least: int) -> DataFrame:
+    """host, shape: the tree of one page of each host that has enough pages, as JSON."""
+    place = F.xxhash64("page_id", "url", "html")
+    hosts = pages.where("host IS NOT NULL").groupBy("host").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     hosts = maybe_broadcast(materialize(hosts.drop("n"), "hosts"))
-    chosen = pages.withColumn("place", place).join(hosts, ["host", "place"])
-    return chosen.groupBy("host").agg(F.min("html").alias("pivot_html"))
+    chosen = pages.withColumn("place", place).join(hosts, ["host", "place"]).select("host", "html")
 
+    def shapes(batches):
+        for batch in batches:
+            trees = [json.dumps(dump(Shape("html", [parse(h)]))) for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "shape": pa.array(trees, pa.string())})
 
-def _by_host(spark_rows, shapes: dict) -> dict:
-    return shapes
+    return chosen.mapInArrow(shapes, "host long, shape string").groupBy("host").agg(F.min("shape").alias("shape"))
 
 
-def extract(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """page_id, url, text, n_chars of each page."""
-    pages = with_host(pages)
-    chosen = materialize(pivots(pages), "pivots")
-    joined = pages.join(maybe_broadcast(chosen, 20_000), "host", "left")
+class Shapes:
+    """The pivots' shapes by their JSON, as a task meets them."""
 
-    def constants(batches):
-        shape_of: dict[str, Shape] = {}
-        for batch in batches:
-            out: dict[str, list] = {"host": [], "slot": [], "hash": [], "page": []}
-            for row in batch.to_pylist():
-                host = row["host"]
-                if row["pivot_html"] is None:
-                    continue
-                if host not in shape_of:
-                    shape_of[host] = Shape("html", [parse(row["pivot_html"])])
-                found = {(slot, hash_of(t)) for t, slot in aligned(parse(row["html"]), shape_of[host]) if slot is not None}
-                page = hash_of(row["html"])
-                for slot, h in sorted(found):
-                    for k, v in (("host", host), ("slot", slot), ("hash", h), ("page", page)):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_pydict({"host": pa.array(out["host"], pa.string()), "slot": pa.array(out["slot"], pa.string()), "hash": pa.array(out["hash"], pa.int64()), "page": pa.array(out["page"], pa.int64())})
-
-    # exact copies of a page count once: it is counted by distinct (block, page), with map-side combining
-    seen = joined.mapInArrow(constants, "host string, slot string, hash long, page long").distinct()
-    counted = seen.groupBy("host", "slot", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    number = pages.where("host != ''").select("host", F.xxhash64("html").alias("page")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    template = counted.join(number, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list(F.struct("slot", "hash")).alias("template"))
-    wrappers = chosen.join(template, "host")  # hosts without a constant have no row
-    wrappers = materialize(wrappers, "wrappers")
-    schema = "page_id long, url string, text string, n_chars long"
+    def __init__(self):
+        self.known: dict[str, Shape] = {}
+
+    def of(self, text: str | None) -> Shape | None:
+        if text is None:
+            return None
+        if text not in self.known:
+            if len(self.known) > 10_000:
+                self.known.clear()
+            self.known[text] = load(json.loads(text))
+        return self.known[text]
+
+
+def blocks(pages: DataFrame, chosen: DataFrame) -> DataFrame:
+    """page_id, url, host, page (a hash of the html) and blocks: the text blocks with the hash of slot and text, null outside the pivot's slots."""
+    fields = [pages.schema["page_id"], pages.schema["url"], T.StructField("host", T.LongType()), T.StructField("page", T.LongType())]
+    schema = T.StructType([*fields, T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("block", T.LongType()), T.StructField("text", T.StringType())])))])
 
     def rows(batches):
-        shape_of: dict[str, Shape] = {}
+        shapes = Shapes()
         for batch in batches:
-            texts = []
-            for row in batch.to_pylist():
-                pivot, template = None, set()
-                if row["pivot_html"] is not None:
-                    host = row["host"]
-                    if host not in shape_of:
-                        shape_of[host] = Shape("html", [parse(row["pivot_html"])])
-                    pivot, template = shape_of[host], {(x["slot"], x["hash"]) for x in row["template"]}
-                kept = [t for t, slot in aligned(parse(row["html"]), pivot) if slot is None or (slot, hash_of(t)) not in template]
-                texts.append("\n".join(kept))
-            yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
-
-    return pages.join(maybe_broadcast(wrappers, 20_000), "host", "left").select("page_id", "url", "html", "host", "pivot_html", "template").mapInArrow(rows, schema)
+            out = [[(None if slot is None else block_hash(slot, t), t) for t, slot in aligned(parse(html), shapes.of(shape))] for html, shape in zip(batch.column("html").to_pylist(), batch.column("shape").to_pylist(), strict=True)]
+            at = np.cumsum([0, *map(len, out)])
+            inner = pa.StructArray.from_arrays([pa.array([b for x in out for b, _ in x], pa.int64()), pa.array([t for x in out for _, t in x], pa.string())], ["block", "text"])
+            yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("page_id", "url", "host", "page")} | {"blocks": pa.ListArray.from_arrays(pa.array(at, pa.int32()), inner)})
+
+    joined = pages.join(maybe_broadcast(chosen), "host", "left")
+    return joined.select("page_id", "url", "host", F.xxhash64("html").alias("page"), "html", "shape").mapInArrow(rows, schema)
+
+
+def extract(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """page_id, url, text, n_chars of each page. Each page is parsed once; what follows works on its blocks."""
+    pages = with_host(pages)
+    chosen = materialize(pivots(pages, least), "pivots")
+    read = materialize(blocks(pages, chosen), "blocks")
+    # exact copies of a page count once: rows are distinct by (block, page) before they are counted
+    seen = read.where("host IS NOT NULL").select("host", "page", F.explode(F.array_distinct("blocks.block")).alias("block")).where("block IS NOT NULL").distinct()
+    counted = seen.groupBy("host", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    number = read.where("host IS NOT NULL").select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    template = counted.join(number, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("block").alias("template"))
+    wrappers = materialize(template, "wrappers")  # hosts without a constant have no row
+    content = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("template", b["block"]), F.lit(False)))
+    text = F.array_join(F.transform(content, lambda b: b["text"]), "\n")
+    return read.join(maybe_broadcast(wrappers), "host", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

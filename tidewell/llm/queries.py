@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import packing, secrets, sharding, token_counts, token_output, toxicity
+from tidewell.llm import html_extract, packing, secrets, sharding, token_counts, token_output, toxicity
 from tidewell.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_packing, op6_token_output, op8_secret_scans, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_packing, op4_html_extraction, op6_token_output, op8_secret_scans, op9_token_counts)}
 SQL: dict[str, str] = {}
