@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import html_extract, packing, secrets, sharding, token_counts, token_output, toxicity
+from tidewell.llm import decontamination, embedding_dedup, html_extract, jaccard_join, packing, secrets, sharding, token_counts, token_output, toxicity
 from tidewell.llm.common import table
 
 
@@ -29,10 +29,21 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which benchmark items each document holds: doc_id, contaminated, n_items, item_ids (comma-joined, ascending)."""
+    marked = decontamination.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    n = F.size("item_ids").cast("long")
+    return marked.select("doc_id", (n > 0).alias("contaminated"), n.alias("n_items"), F.concat_ws(",", F.col("item_ids").cast("array<string>")).alias("item_ids"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.col("found")
     count = lambda rank: F.size(F.filter(found, lambda x: x["rank"] == rank)).cast("long")
@@ -51,5 +62,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_packing, op4_html_extraction, op6_token_output, op8_secret_scans, op9_token_counts)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_packing, op4_html_extraction, op5_jaccard_join, op6_token_output, op7_decontamination, op8_secret_scans, op9_token_counts, op10_embedding_dedup)}
 SQL: dict[str, str] = {}
