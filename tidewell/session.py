@@ -18,3 +18,16 @@ def session(name: str = "tidewell", master: str | None = None, shuffle_partition
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settled(df):
+    """df computed once and cut from its lineage, in the folder that the cluster names for checkpoints."""
+    import tempfile
+
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewell-"))
+    return df.checkpoint()
