@@ -25,14 +25,17 @@ def query_vectors(questions: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BATCH_TERMS) -> DataFrame:
+    """df, broadcast if it has no more rows. It is counted here: for what is read, not for what is long computed; adaptive execution sizes that."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """qid, doc_id, chunk_order, score of every chunk that shares a term with the question. Only the questions' terms are counted."""
-    terms = small(questions.select(F.explode(X.tokens(F.col("question"))).alias("term")).distinct())
-    met = vectors(chunks, terms)
-    met = met.join(small(query_vectors(questions, idf(met, chunks))), "term")
+    tokens = questions.select(F.explode(X.tokens(F.col("question"))).alias("term"))
+    few = tokens.limit(BATCH_TERMS + 1).count() <= BATCH_TERMS  # it bounds both sides below
+    near = F.broadcast if few else lambda df: df
+    met = vectors(chunks, near(tokens.distinct()))
+    met = met.join(near(query_vectors(questions, idf(met, chunks))), "term")
     return met.groupBy("qid", *ID).agg(F.round(F.sum(F.col("tf") * F.col("idf") * F.col("weight")), PLACES).alias("score"))
 
 
@@ -53,7 +56,7 @@ def top_k(scored: DataFrame, chunks: DataFrame, questions: DataFrame, k: int) ->
 def exhaustive(scored: DataFrame, most: int = 200, share: float = 0.1) -> DataFrame:
     """All positive hits of at least a share of the question's best score, up to most."""
     top = scored.where("score > 0").groupBy("qid").agg(F.max("score").alias("top"))
-    return best(scored.join(small(top), "qid").where((F.col("score") > 0) & (F.col("score") >= share * F.col("top"))), most).drop("top")
+    return best(scored.join(top, "qid").where((F.col("score") > 0) & (F.col("score") >= share * F.col("top"))), most).drop("top")
 
 
 def of_sources(scored: DataFrame, chunks: DataFrame, sources: list[str] | None) -> DataFrame:
@@ -66,7 +69,7 @@ def of_sources(scored: DataFrame, chunks: DataFrame, sources: list[str] | None)
 def fused(sparse: DataFrame, dense: DataFrame, weight: float, on: list[str]) -> DataFrame:
     """Both scores divided by their largest over all rows of the question, and mixed. Rows that one side lacks count zero there."""
     tops = lambda df: df.groupBy("qid").agg(F.max("score").alias("top"))
-    scaled = lambda df, name: df.join(small(tops(df)), "qid").select("qid", *on, F.when(F.col("top") == 0, 0.0).otherwise(F.col("score") / F.col("top")).alias(name))
+    scaled = lambda df, name: df.join(tops(df), "qid").select("qid", *on, F.when(F.col("top") == 0, 0.0).otherwise(F.col("score") / F.col("top")).alias(name))
     both = scaled(sparse, "s").join(scaled(dense, "d"), ["qid", *on], "full")
     mixed = F.coalesce("s", F.lit(0.0)) * (1 - weight) + F.coalesce("d", F.lit(0.0)) * weight
     return both.select("qid", *on, F.round(mixed, PLACES).alias("score"))
@@ -109,7 +112,7 @@ def expanded(hits: DataFrame, chunks: DataFrame, families: DataFrame | None = No
     tops = hits.groupBy("qid", "source").agg(F.max("score").alias("score"))
     tops = tops.join(families, "source", "left").withColumn("family", F.coalesce("family", "source")) if families is not None else tops.withColumn("family", F.col("source"))
     keeper = tops.groupBy("qid", "family").agg(F.min(F.struct(F.length("source").alias("n"), F.col("source"))).alias("k")).select("qid", "family", F.col("k.source").alias("keeper"))
-    rest = chunks.join(small(tops.join(keeper, ["qid", "family"])), "source")
+    rest = chunks.join(tops.join(keeper, ["qid", "family"]), "source")
     rest = rest.where(~(stat if stat is not None else X.is_stat(F.col("text"))) | (F.col("keeper") == F.col("source")))
     rest = rest.join(hits.select("qid", *ID), ["qid", *ID], "left_anti")
     columns = ["qid", *ID, "source", "score"]
