@@ -175,7 +175,7 @@ def unit_vectors(spark, d):
 FUSED = f"""WITH {sql.scored(ONE)}, sparse AS (SELECT qid, doc_id, max(score) AS score FROM scored GROUP BY 1, 2),
 centre AS (SELECT embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id = 0),
 dense AS (SELECT 0::BIGINT AS qid, vec_id AS doc_id, round(list_dot_product(c, e) / sqrt(list_dot_product(c, c)) / sqrt(list_dot_product(e, e)), 6) AS score FROM centre, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
-fused AS (SELECT qid, doc_id, round(0.5 * coalesce(s.score / (SELECT max(score) FROM sparse), 0) + 0.5 * coalesce(n.score / (SELECT max(score) FROM dense), 0), 6) AS score FROM sparse s FULL JOIN dense n USING (qid, doc_id))"""
+fused AS (SELECT qid, doc_id, round(0.6 * coalesce(s.score / (SELECT max(score) FROM sparse), 0) + 0.4 * coalesce(n.score / (SELECT max(score) FROM dense), 0), 6) AS score FROM sparse s FULL JOIN dense n USING (qid, doc_id))"""
 
 
 def fused(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +183,7 @@ def fused(spark: SparkSession, d: str) -> DataFrame:
     sparse = search.scores(one(spark), chunks(spark, d)).groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
     vectors = table(spark, d, "embeddings")
     asked = vectors.where("vec_id = 0").select(F.lit(0).cast("long").alias("qid"), "embedding")
-    return search.fused(sparse, dense.cosines(asked, vectors).withColumnRenamed("vec_id", "doc_id"), 0.5, ["doc_id"])
+    return search.fused(sparse, dense.cosines(asked, vectors).withColumnRenamed("vec_id", "doc_id"), 0.4, ["doc_id"])
 
 
 @query(f"{FUSED} SELECT * FROM fused")
