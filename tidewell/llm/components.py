@@ -30,3 +30,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def merged(found: DataFrame, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """found (node, component) after more links: only what they join, components as single nodes, is worked on."""
+    own = found.select("node", "component")
+    ends = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
+    for end in ("x", "y"):
+        ends = ends.join(own.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component")), end, "left").withColumn(end, F.coalesce(f"{end}_component", end)).drop(f"{end}_component")
+    joined = components(ends.where("x != y").distinct(), "x", "y")
+    joined = materialize(joined, "joined")
+    new = joined.select("node", F.col("node").alias("component")).join(own.select("node"), "node", "left_anti")
+    final = joined.select(F.col("node").alias("component"), F.col("component").alias("final"))
+    return own.union(new).join(final, "component", "left").select("node", F.coalesce("final", "component").alias("component"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm.common import materialize, maybe_broadcast, mix, slices, utf8
-from tidewell.llm.components import components
+from tidewell.llm.components import components, merged
 from tidewell.llm.tokens import SPACE
 
 WORDS = 5
@@ -218,15 +218,14 @@ def link(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     banded = materialize(nodes.select("node", F.explode("bands").alias("band")), "bands")
     links = materialize(verified(materialize(hubs(banded, None), "hubs"), docs, nodes, key), "links")
     comps = materialize(components(links), "components")
-    links = materialize(links.union(verified(materialize(hubs(banded, comps), "hubs"), docs, nodes, key)), "links")
-    comps = materialize(components(links), "components")
+    comps = materialize(merged(comps, verified(materialize(hubs(banded, comps), "hubs"), docs, nodes, key)), "components")
     late = frequent(reps, key)
     pairs = materialize(candidates(tokens(reps, key, 0, late), nodes, comps), "candidates")
     for order in range(1, ORDERS):
         asked = materialize(nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node").select("node", "label"), "asked")
         rows = tokens(only(docs, asked, key), key, order, late)
         pairs = materialize(pairs.join(candidates(rows, nodes, comps).select("a", "b"), ["a", "b"]), "candidates")
-    comps = materialize(components(links.union(verified(pairs, docs, nodes, key))), "components")
+    comps = materialize(merged(comps, verified(pairs, docs, nodes, key)), "components")
     named = nodes.select("node", "label").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named, "named")
     names = named.groupBy("component").agg(F.min("label").alias("component_id"))
