@@ -38,7 +38,7 @@ BANDS, ROWS = 4, 2
 SAMPLED, FREQUENT, LAST = 16, 4, 500_000
 ORDERS = 2
 SLICE = 2 << 20
-LABELS = 2_000_000
+LABELS = 400_000
 C = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
