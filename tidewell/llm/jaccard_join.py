@@ -6,8 +6,10 @@ frequent tokens last and rank the others by a hash of their own, so candidates m
 under independent orders, as often as the threshold demands (`needed`), before they are verified on whole sets.
 
 Links are wanted only as far as they decide the components, so nodes that agree in a min-hash band are first verified against
-one of them (twice, with other hubs): a group of near copies becomes a few components with a link a node, and the prefix join then
-looks only for pairs between components. No pair that could join two components is skipped.
+hubs among them: one in the first round, then, where a band still spans components, the most central node of each of HUBS hash
+classes. Central is what lies near the sum of all sets, as copies that hardly differ from their original do, and those link with most
+of a group. So a group of near copies becomes a few components with some links a node, and the prefix join then
+looks only for pairs between components. No pair that could join two components is skipped: the rounds only save work.
 
 Which tokens are frequent is estimated from a hashed sixteenth of the nodes. It decides the orders, which may be any,
 and so only the amount of work, never a result. Sets are rebuilt from the texts where they are needed; no task,
@@ -34,6 +36,10 @@ from tidewell.llm.tokens import SPACE
 WORDS = 5
 PERCENT = 80
 BANDS, ROWS = 4, 2
+#: Min-hashes of a node, of which the first BANDS * ROWS make its bands; a hub is tried from so many per cent of agreement.
+MINS, AGREE = 16, 60
+#: Rounds, and hubs of a band in each but the first.
+ROUNDS, HUBS = 2, 8
 #: One of so many nodes is looked at for frequent tokens; so many of them must have a token; so many tokens are put last at most.
 SAMPLED, FREQUENT, LAST = 16, 4, 500_000
 ORDERS = 2
@@ -90,19 +96,19 @@ def node_of(own: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame, key: str) -> DataFrame:
-    """key, node (a hash of the set), n (its size), bands (hashes of min-hashes)."""
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    by = C[20 : 20 + BANDS * ROWS]
+    """key, node (a hash of the set), n (its size), mins (the low halves of its min-hashes)."""
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("mins", T.ArrayType(T.IntegerType()))])
+    by = mix(np.arange(1000, 1000 + MINS, dtype=np.uint64)) | np.uint64(1)
 
     def rows(batches):
         for batch in batches:
-            node, n, bands = [], [], []
+            node, n, mins = [], [], []
             for _, own in shingle_sets(batch.column(1)):
                 node.append(node_of(own))
                 n.append(len(own))
-                low = (own[:, None] * by).min(axis=0).reshape(BANDS, ROWS) if len(own) else np.zeros((BANDS, ROWS), np.uint64)
-                bands.append(signed(mix((low * C[40 : 40 + ROWS]).sum(axis=1, dtype=np.uint64) + C[:BANDS])).tolist())
-            yield pa.RecordBatch.from_pydict({key: batch.column(0), "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+                low = np.array([(own * b).min() for b in by]) if len(own) else np.zeros(MINS, np.uint64)
+                mins.append(low.astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_pydict({key: batch.column(0), "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), "mins": pa.array(mins, pa.list_(pa.int32()))})
 
     return docs.select(key, "text").mapInArrow(rows, schema)
 
@@ -196,29 +202,45 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str) -> D
     return both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long").distinct()
 
 
-def hubs(banded: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """a, b: each node of a band's group with the group's first node, or, if components are given, with the last one's if theirs differ."""
-    if comps is None:
-        groups = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other")
-        pairs = banded.join(groups, "band").where("node != hub")
-    else:
-        placed = banded.join(maybe_broadcast(comps), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        groups = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("node").alias("hub")).where("lo < hi").select("band", "hub")
-        theirs = comps.select(F.col("node").alias("hub"), F.col("component").alias("theirs"))
-        groups = groups.join(theirs, "hub", "left").withColumn("theirs", F.coalesce("theirs", "hub"))
-        pairs = placed.join(groups, "band").where("component != theirs")
-    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+def central(docs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """node, score: the cosine, but for a factor, of its set with the sum of the sets of all these nodes."""
+    each = tokens(only(docs, materialize(nodes.select("label"), "asked"), key), key)
+    shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("has")).where("has > 1")
+    total = each.join(materialize(shared, "shared"), "token").groupBy("node").agg(F.sum("has").alias("total"))
+    return total.join(nodes.select("node", "n"), "node").select("node", (F.col("total") / F.sqrt("n")).alias("score"))
+
+
+def hubs(docs: DataFrame, nodes: DataFrame, comps: DataFrame | None, turn: int, key: str) -> DataFrame:
+    """a, b: nodes with the hubs of their bands, if these are of other components and their min-hashes agree enough."""
+    bands = F.array(*[F.xxhash64(F.lit(j), *[F.col("mins")[j * ROWS + i] for i in range(ROWS)]) for j in range(BANDS)])
+    placed = nodes.select("node", F.col("node").alias("component"), F.explode(bands).alias("band"))
+    if comps is not None:
+        placed = placed.drop("component").join(maybe_broadcast(comps), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spread = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+    placed = materialize(placed.join(maybe_broadcast(materialize(spread, "spread-bands")), "band"), "placed")
+    mins = materialize(nodes.join(placed.select("node").distinct(), "node"), "mins")
+    placed, score = placed.join(mins.select("node", "mins"), "node"), F.lit(0.0)
+    if comps is not None:
+        scores = central(docs, mins, key)
+        placed, score = placed.join(maybe_broadcast(materialize(scores, "scores")), "node", "left"), F.coalesce("score", F.lit(0.0))
+    tie = F.xxhash64("node", F.lit(turn))
+    kind = F.pmod(tie, F.lit(1 if comps is None else HUBS)).alias("kind")
+    best = placed.groupBy("band", kind).agg(F.max(F.struct(score.alias("score"), tie.alias("tie"), F.col("node").alias("hub"), F.col("component").alias("theirs"))).alias("best"))
+    best = best.select("band", "best.hub", "best.theirs").join(mins.select(F.col("node").alias("hub"), F.col("mins").alias("own")), "hub")
+    pairs = placed.join(maybe_broadcast(materialize(best, "best")), "band").where("component != theirs")
+    agree = F.size(F.filter(F.zip_with("mins", "own", lambda x, y: x == y), lambda same: same))
+    return pairs.where(100 * agree >= AGREE * MINS).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def link(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_shingles and component_id (the smallest key reachable by links) of each row."""
     made = materialize(sets(docs, key), "sets")
-    nodes = materialize(made.where("n > 0").groupBy("node").agg(F.min(key).alias("label"), F.max("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = materialize(made.where("n > 0").groupBy("node").agg(F.min(key).alias("label"), F.max("n").alias("n"), F.first("mins").alias("mins")), "nodes")
     reps = only(docs, nodes, key)
-    banded = materialize(nodes.select("node", F.explode("bands").alias("band")), "bands")
-    links = materialize(verified(materialize(hubs(banded, None), "hubs"), docs, nodes, key), "links")
-    comps = materialize(components(links), "components")
-    comps = materialize(merged(comps, verified(materialize(hubs(banded, comps), "hubs"), docs, nodes, key)), "components")
+    comps = None
+    for turn in range(ROUNDS):
+        links = verified(materialize(hubs(docs, nodes, comps, turn, key), "hubs"), docs, nodes, key)
+        comps = materialize(components(links) if comps is None else merged(comps, links), "components")
     late = frequent(reps, key)
     pairs = materialize(candidates(tokens(reps, key, 0, late), nodes, comps), "candidates")
     for order in range(1, ORDERS):
