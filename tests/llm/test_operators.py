@@ -268,6 +268,16 @@ def test_boilerplate_by_meaning():
     assert [t for t, _, _ in html_extract.text_blocks(html_extract.parse(markup))] == ["T", "a b", "c", "1", "2"]
 
 
+@pytest.mark.parametrize("odd", ["<![foo bar]>", "<![ 1 ]>", "<![>", "<![CDATA[x]]>", "<![if !IE]>", "<![endif]>", "<![IGNORE[>", "<!x>"])
+def test_odd_declarations(odd):
+    found = " ".join(t for t, _, _ in html_extract.text_blocks(html_extract.parse(f"<div><p>before {odd} between</p><p>after</p></div><p>end")))
+    assert found == "before between after end"
+
+
+def test_unclosed_declaration():
+    assert [t for t, _, _ in html_extract.text_blocks(html_extract.parse("<p>before</p><p>x <![ 1 and on"))] == ["before", "x <![ 1 and on"]
+
+
 def test_tree_matching():
     shape = lambda t: html_extract.load(t)
     pairs = {}

@@ -115,6 +115,10 @@ class Builder(HTMLParser):
                 del self.stack[i:]
                 return
 
+    def parse_html_declaration(self, i):
+        """What begins with '<![' is a comment up to its '>', as HTML says; the base class fails on an unknown word there."""
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+
     def handle_data(self, data):
         if not self.skipped:
             self.stack[-1].children.append(data)
@@ -122,11 +126,8 @@ class Builder(HTMLParser):
 
 def parse(html: str) -> Node:
     builder = Builder()
-    try:
-        builder.feed(html)
-        builder.close()
-    except AssertionError:  # the parser's answer to some broken declarations: what came before them counts
-        pass
+    builder.feed(html)
+    builder.close()
     return builder.root
 
 
