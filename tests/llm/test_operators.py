@@ -367,6 +367,17 @@ def test_decontamination_odd_inputs(spark):
     assert decontamination.mark(docs(spark, []).limit(0), benchmark).count() == 0
 
 
+def test_decontamination_of_reordered_items(spark):
+    w = [f"w{i}" for i in range(50)]
+    x, items = [f"x{i}" for i in range(80)], {1: " ".join(w), 2: " ".join(w[:30])}
+    swapped = [w[25:] + w[:25], w[40:] + w[:40], w[20:30] + w[:20]]
+    texts = [" ".join(own) for s in swapped for own in (s, x + s, s + x, x + s + x)] + [" ".join(x + w[30:] + w[15:30] + w[:15] + x)]
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {r["text"]: list(r["item_ids"]) for r in decontamination.mark(docs(spark, texts), benchmark).collect()}
+    assert found == {t: held(t, items) for t in texts}
+    assert all(1 in found[t] for t in texts[:8])
+
+
 # 8
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)

@@ -1,7 +1,9 @@
 """Find benchmark items in documents: SimHash windows of an item's size, multi-index Hamming blocks, exact verification.
 
 1. A window can be similar to an item only if they share a shingle, so windows (of as many words as the item, the whole document if
-   it is shorter) are laid wherever a document's shingle is an item's, aligned by it. No other window can match.
+   it is shorter) are begun at each shingle of a document that is an item's of that size. Any window can be moved right to its first
+   such shingle, or to the document's end, without losing one, so these include a best one, in whatever order the item's parts stand.
+   Windows with fewer such shingles than the threshold demands of an item of that size cannot match and are left out.
 2. Each window and each item has a 64-bit SimHash of its shingles, by their number. Fingerprints within ``RADIUS`` bits of each other agree
    on at least one of RADIUS + 1 blocks of bits: windows meet items of their size by equal blocks, then by distance. Two sets at the
    threshold differ in ten bits on average, with a deviation of three, so a radius of 23 loses none in practice.
@@ -64,14 +66,16 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", percent:
     grams = sorted(r["gram"] for r in wanted.select("gram").distinct().collect())  # five values at most
     own_row = F.xxhash64(F.col(key), F.coalesce("text", F.lit("")))
     hashed = docs.select(own_row.alias("row"), word_hashes(F.col("text")).alias("h"))
-    places = wanted.select("n_words", "gram", F.posexplode("own").alias("at", "shingle")).distinct()
-    places = maybe_broadcast(materialize(places, "item-shingles"))
+    places = maybe_broadcast(materialize(wanted.select("n_words", "gram", F.explode("own").alias("shingle")).distinct(), "item-shingles"))
     found = []
     for k in grams:
         each = hashed.select("row", F.size("h").alias("size"), F.posexplode(shingles(F.col("h"), k)).alias("pos", "shingle"))
-        mine = places.where(F.col("gram") == k)
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("n_words")))
-        found.append(each.join(mine, "shingle").select("row", "n_words", "gram", start.alias("start")))
+        hits = each.join(places.where(F.col("gram") == k), "shingle").groupBy("row", "size", "n_words", "gram").agg(F.array_sort(F.collect_set("pos")).alias("hits"))
+        last = F.col("n_words") - k  # a window's last shingle, from its start; it needs so many hits:
+        least = F.ceil((last + 1) * percent / 100).cast("int")
+        start = lambda pos: F.greatest(F.lit(0), F.least(pos, F.col("size") - F.col("n_words")))
+        full = F.filter(F.col("hits"), lambda pos, i: F.coalesce(F.get(F.col("hits"), i + least - 1) <= start(pos) + last, F.lit(False)))
+        found.append(hits.select("row", "n_words", "gram", F.explode(F.array_distinct(F.transform(full, start))).alias("start")))
     if not found:
         return docs.sparkSession.createDataFrame([], "row long, item_id long")
     windows = materialize(reduce(DataFrame.union, found).distinct(), "windows")
