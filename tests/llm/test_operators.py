@@ -256,6 +256,19 @@ def test_wrapper_induction(spark):
     assert text[21, None] == "" and text[22, "nonsense"] == ""
 
 
+@pytest.mark.parametrize("behind", ["<div><p>{0}</p></div>", "<div><ul><li>{0}</ul><h2>x</h2></div><div><h3>{0}</h3></div>"])
+def test_every_run_has_a_slot(behind):
+    root = html_extract.parse(f"<div><h1>Head</h1><p>Body</p></div>{behind.format('Notice')}")
+    slots = dict(html_extract.aligned(root, html_extract.load(html_extract.dump(html_extract.Shape("html", [root])))))
+    assert "Notice" in slots and all(slots.values())
+
+
+def test_wrapper_induction_behind_content(spark):
+    html = lambda i: f"<div><h1>Head {i}</h1><p>Body {i}</p></div><div><p>Read our terms.</p></div><div><ul><li>All rights</ul></div>"
+    found = html_extract.extract(spark.createDataFrame([(i, f"https://one.example.org/{i}", html(i)) for i in range(8)], "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in found} == {f"Head {i}\nBody {i}" for i in range(8)}
+
+
 def test_pages(spark):
     found = {r["page_id"]: r["text"] for r in queries.op4_html_extraction(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():

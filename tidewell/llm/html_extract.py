@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -132,7 +133,7 @@ def parse(html: str) -> Node:
 
 
 def text_blocks(root: Node) -> list[tuple[str, Node, tuple]]:
-    """(text, node, path) of the blocks that may be content, in page order: an article's, if one is marked. path: tags and their runs."""
+    """(text, node, path) of the blocks that may be content, in page order: an article's, if one is marked. path: tags, each with its number among its parent's runs of that tag."""
     found: list[tuple[str, Node, tuple, bool]] = []
     stack: list = [("open", root, (), False)]
     while stack:
@@ -144,7 +145,7 @@ def text_blocks(root: Node) -> list[tuple[str, Node, tuple]]:
             continue
         inside = inside or node.article
         todo, run, part = [], [], 0
-        last, runs = None, -1
+        last, runs = None, Counter()
 
         def end(node=node, path=path, inside=inside, todo=todo, run=run):
             text = SPACES.sub(" ", "".join(run)).strip()
@@ -158,8 +159,9 @@ def text_blocks(root: Node) -> list[tuple[str, Node, tuple]]:
             else:
                 end()
                 if child.tag != last:
-                    last, runs = child.tag, runs + 1
-                todo.append(("open", child, (*path, f"{child.tag}{runs}"), inside))
+                    last = child.tag
+                    runs[last] += 1
+                todo.append(("open", child, (*path, f"{last}{runs[last] - 1}"), inside))
         end()
         stack.extend(reversed(todo))
     if any(inside for *_, inside in found):
@@ -180,21 +182,20 @@ def runs(node: Node) -> list[tuple[str, list[Node]]]:
 
 
 class Shape:
-    """A tree in which each run of siblings of one tag is one node, with the union of their children's runs."""
+    """A tree in which each run of siblings of one tag is one node, with the union of their children's runs: equal are the n-th runs of a tag."""
 
     __slots__ = ("tag", "parts", "size", "slot")
 
     def __init__(self, tag: str, nodes: list[Node], slot: str = "", depth: int = 0):
         self.tag, self.slot, self.parts = tag, slot, []
         if depth < 64:
-            merged: list[tuple[str, list[Node]]] = []
+            merged: dict[tuple[str, int], list[Node]] = {}  # in the order in which runs are first met
             for n in nodes:
-                for i, (t, own) in enumerate(runs(n)):
-                    if i < len(merged) and merged[i][0] == t:
-                        merged[i][1].extend(own)
-                    elif i >= len(merged):
-                        merged.append((t, list(own)))
-            self.parts = [Shape(t, own, f"{slot}/{t}{i}", depth + 1) for i, (t, own) in enumerate(merged)]
+                number: Counter[str] = Counter()
+                for t, own in runs(n):
+                    merged.setdefault((t, number[t]), []).extend(own)
+                    number[t] += 1
+            self.parts = [Shape(t, own, f"{slot}/{t}{i}", depth + 1) for (t, i), own in merged.items()]
         self.size = 1 + sum(p.size for p in self.parts)
 
 
