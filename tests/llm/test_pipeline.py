@@ -41,3 +41,16 @@ def test_empty(spark):
     own = docs(spark, []).limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, own, SF).count() == 0
+
+
+def test_copies_by_row(spark):
+    long = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    a, b, c, d, e = map(long, "abcde")
+    rows = [(1, a), (2, a), (2, b), (2, b + " more"), (3, c), (3, c), (3, c), (None, d), (None, d), (None, a), (4, e), (None, e), (None, None), (None, ""), (5, ""), (5, "")]
+    own = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = corpus_pipeline.drop_near_copies(spark, own, SF)
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert kept.columns == own.columns
+    (two,) = [t for i, t in found if i == 2]
+    assert two in (b, b + " more")
+    assert found == sorted([(1, a), (2, two), (3, c), (None, d), (4, e), (None, None), (None, ""), (5, ""), (5, "")], key=str)

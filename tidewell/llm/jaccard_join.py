@@ -96,8 +96,8 @@ def node_of(own: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame, key: str) -> DataFrame:
-    """key, node (a hash of the set), n (its size), mins (the low halves of its min-hashes)."""
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("mins", T.ArrayType(T.IntegerType()))])
+    """key, own (a hash of the text), node (a hash of the set), n (its size), mins (the low halves of its min-hashes)."""
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("own", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("mins", T.ArrayType(T.IntegerType()))])
     by = mix(np.arange(1000, 1000 + MINS, dtype=np.uint64)) | np.uint64(1)
 
     def rows(batches):
@@ -108,9 +108,13 @@ def sets(docs: DataFrame, key: str) -> DataFrame:
                 n.append(len(own))
                 low = np.array([(own * b).min() for b in by]) if len(own) else np.zeros(MINS, np.uint64)
                 mins.append(low.astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_pydict({key: batch.column(0), "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), "mins": pa.array(mins, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({key: batch.column(0), "own": batch.column(2), "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), "mins": pa.array(mins, pa.list_(pa.int32()))})
 
-    return docs.select(key, "text").mapInArrow(rows, schema)
+    return docs.select(key, "text", text_hash()).mapInArrow(rows, schema)
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("own")
 
 
 def only(docs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
@@ -232,8 +236,8 @@ def hubs(docs: DataFrame, nodes: DataFrame, comps: DataFrame | None, turn: int,
     return pairs.where(100 * agree >= AGREE * MINS).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def link(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n_shingles and component_id (the smallest key reachable by links) of each row."""
+def grouped(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The rows' sets, and label and component of each node."""
     made = materialize(sets(docs, key), "sets")
     nodes = materialize(made.where("n > 0").groupBy("node").agg(F.min(key).alias("label"), F.max("n").alias("n"), F.first("mins").alias("mins")), "nodes")
     reps = only(docs, nodes, key)
@@ -249,8 +253,30 @@ def link(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         pairs = materialize(pairs.join(candidates(rows, nodes, comps).select("a", "b"), ["a", "b"]), "candidates")
     comps = materialize(merged(comps, verified(pairs, docs, nodes, key)), "components")
     named = nodes.select("node", "label").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = materialize(named, "named")
+    return made, materialize(named, "named")
+
+
+def link(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, n_shingles and component_id (the smallest key reachable by links) of each row."""
+    made, named = grouped(docs, key)
     names = named.groupBy("component").agg(F.min("label").alias("component_id"))
     named = named.join(names, "component").select("node", "component_id")
     out = made.join(named, "node", "left")
     return out.select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
+
+
+def one_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs without near copies, row by row: of each component the row with the smallest key (nulls last), then the smallest
+    hash of its text; of rows equal in both, the smallest by all columns. Rows without words all stay."""
+    made, named = grouped(docs, key)
+    rows = materialize(made.where("n > 0").select(key, "own", "node").join(named.select("node", "component"), "node").groupBy("component", key, "own").agg(F.count(F.lit(1)).alias("times")), "rows")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col(key).isNull(), F.col(key).alias("key"), "own")).alias("first"), F.sum("times").alias("n_rows")).where("n_rows > 1")
+    stays = F.col(key).eqNullSafe(F.col("first.key")) & (F.col("own") == F.col("first.own"))
+    # a row is known by key and text; only rows of groups of several are here
+    known = rows.join(first, "component").select(F.col(key).alias("_key"), F.col("own").alias("_own"), F.when(stays, F.col("times")).otherwise(F.lit(0)).alias("_times"))
+    known = maybe_broadcast(materialize(known, "known-rows"), LABELS)
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = docs.join(known, F.col(key).eqNullSafe(F.col("_key")) & (own == F.col("_own")), "left")
+    single = found.where("_times IS NULL OR _times = 1").select(docs.columns)
+    equal = found.where("_times > 1").groupBy("_key", "_own").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return single.union(equal)
