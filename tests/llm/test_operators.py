@@ -259,7 +259,7 @@ def test_wrapper_induction(spark):
 @pytest.mark.parametrize("behind", ["<div><p>{0}</p></div>", "<div><ul><li>{0}</ul><h2>x</h2></div><div><h3>{0}</h3></div>"])
 def test_every_run_has_a_slot(behind):
     root = html_extract.parse(f"<div><h1>Head</h1><p>Body</p></div>{behind.format('Notice')}")
-    slots = dict(html_extract.aligned(root, html_extract.load(html_extract.dump(html_extract.Shape("html", [root])))))
+    slots = {t: slot for t, slot, _ in html_extract.aligned(root, html_extract.load(html_extract.dump(html_extract.Shape("html", [root]))))}
     assert "Notice" in slots and all(slots.values())
 
 
@@ -269,6 +269,18 @@ def test_wrapper_induction_behind_content(spark):
     assert {r["text"] for r in found} == {f"Head {i}\nBody {i}" for i in range(8)}
 
 
+def test_no_page_decides_alone(spark):
+    body = lambda i: f"<div><h1>Head {i}</h1><p>Body {i}</p></div>"
+    deep = lambda i: "<div>" * 70 + f"<p>Deep {i}</p><ul><li>Deep notice</ul>" + "</div>" * 70
+    rows = []
+    for h in range(12):  # whichever page of a host is the pivot
+        rows += [(i, f"https://h{h}.example.org/{i}", body(f"{h} {i}") + "<table><tr><td>Read our terms.</table>" * (i % 4 > 0) + deep(i)) for i in range(12)]
+        rows += [(50 + i, f"https://h{h}.example.org/{i}", t) for i, t in enumerate([None, "", "<div></div>", " "])]
+    found = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == len(rows)
+    assert all(r["text"] == "" if r["page_id"] >= 50 else r["text"].split("\n")[2:] == [f"Deep {r['page_id']}"] for r in found)
+
+
 def test_pages(spark):
     found = {r["page_id"]: r["text"] for r in queries.op4_html_extraction(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():

@@ -1,12 +1,14 @@
 """Extract the main text of web pages with wrappers induced from pages of the same host.
 
-1. Of each host, one page is the pivot of the alignment (the one with the lowest hash).
+1. Of each host, one page is the pivot of the alignment: of up to ``PIVOTS`` pages taken by hash, the first that has text.
 2. Every page's DOM tree is aligned with its host's pivot by simple tree matching, in which consecutive
    siblings of one tag are one repeated slot. A text block in a slot that the pivot has too is reported as
-   (host, slot, hash of its text).
+   (host, slot, hash of its text), and every block, with or without such a slot, as (host, chain of its tags, hash of its text).
 3. Over all pages of the host (exact copies of a page count once) these are counted. A text that at least ``SHARE`` of the host's
    pages, and no fewer than ``LEAST`` of them, have in the same slot is constant: it is template. What varies is content.
-4. The wrapper is the host's set of constant (slot, hash) pairs, at most 1 / SHARE a slot, so its size is bounded by the pivot.
+   Where the pivot lacks a text's slot on some page, or has it beyond ``DEPTH``, the chain of tags is its slot, so no text that is
+   constant goes unseen for the choice of the pivot.
+4. The wrapper is the host's set of constant (slot, hash) pairs, at most 1 / SHARE for each block of a page.
 
 Elements that are boilerplate by their meaning (menus, headers, footers, sidebars, notices, adverts, forms,
 comments, scripts) never are content, however they vary; if a page marks its article, only that is.
@@ -34,6 +36,8 @@ from tidewell.llm.common import maybe_broadcast, materialize
 
 #: A text is template if this share of the host's distinct pages, and so many of them, have it in one slot.
 SHARE, LEAST = 0.6, 5
+#: Pages of a host that are tried as its pivot; levels of a tree that are aligned.
+PIVOTS, DEPTH = 8, 64
 
 # HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -161,7 +165,7 @@ def text_blocks(root: Node) -> list[tuple[str, Node, tuple]]:
                 if child.tag != last:
                     last = child.tag
                     runs[last] += 1
-                todo.append(("open", child, (*path, f"{last}{runs[last] - 1}"), inside))
+                todo.append(("open", child, (*path, f"{last}.{runs[last] - 1}"), inside))
         end()
         stack.extend(reversed(todo))
     if any(inside for *_, inside in found):
@@ -188,14 +192,14 @@ class Shape:
 
     def __init__(self, tag: str, nodes: list[Node], slot: str = "", depth: int = 0):
         self.tag, self.slot, self.parts = tag, slot, []
-        if depth < 64:
+        if depth < DEPTH:
             merged: dict[tuple[str, int], list[Node]] = {}  # in the order in which runs are first met
             for n in nodes:
                 number: Counter[str] = Counter()
                 for t, own in runs(n):
                     merged.setdefault((t, number[t]), []).extend(own)
                     number[t] += 1
-            self.parts = [Shape(t, own, f"{slot}/{t}{i}", depth + 1) for (t, i), own in merged.items()]
+            self.parts = [Shape(t, own, f"{slot}/{t}.{i}", depth + 1) for (t, i), own in merged.items()]
         self.size = 1 + sum(p.size for p in self.parts)
 
 
@@ -226,14 +230,12 @@ def match(a: Shape, b: Shape, pairs: dict[str, str]) -> int:
     return 1 + int(best[m, n])
 
 
-def aligned(root: Node, pivot: Shape | None) -> list[tuple[str, str | None]]:
-    """Text blocks of a page with the pivot's slot that each aligns with."""
-    blocks = text_blocks(root)
-    if pivot is None:
-        return [(t, None) for t, _, _ in blocks]
+def aligned(root: Node, pivot: Shape | None) -> list[tuple[str, str | None, str]]:
+    """Text blocks of a page with the pivot's slot that each aligns with, if any, and the chain of its tags."""
     pairs: dict[str, str] = {}
-    match(Shape("html", [root]), pivot, pairs)
-    return [(t, pairs.get("".join(f"/{x}" for x in path[:-1]))) for t, _, path in blocks]
+    if pivot is not None:
+        match(Shape("html", [root]), pivot, pairs)
+    return [(t, pairs.get("".join(f"/{x}" for x in path[:-1])), "#" + "/".join(x.partition(".")[0] for x in path[:-1])) for t, _, path in text_blocks(root)]
 
 
 def dump(shape: Shape) -> list:
@@ -258,18 +260,22 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def pivots(pages: DataFrame, least: int) -> DataFrame:
-    """host, shape: the tree of one page of each host that has enough pages, as JSON."""
+    """host, shape: the tree of one page with text of each host that has enough pages, as JSON."""
     place = F.xxhash64("page_id", "url", "html")
-    hosts = pages.where("host IS NOT NULL").groupBy("host").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    hosts = maybe_broadcast(materialize(hosts.drop("n"), "hosts"))
-    chosen = pages.withColumn("place", place).join(hosts, ["host", "place"]).select("host", "html")
+    own = pages.where("host IS NOT NULL").groupBy("host", F.pmod(place, F.lit(PIVOTS)).alias("part"))
+    tried = materialize(own.agg(F.min(F.when(F.trim("html") != "", place)).alias("place"), F.count(F.lit(1)).alias("n")), "tried")
+    hosts = tried.groupBy("host").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("host")
+    tried = maybe_broadcast(materialize(tried.where("place IS NOT NULL").join(hosts, "host").select("host", "place"), "hosts"))
+    chosen = pages.withColumn("place", place).join(tried, ["host", "place"]).select("host", "place", "html")
 
     def shapes(batches):
         for batch in batches:
-            trees = [json.dumps(dump(Shape("html", [parse(h)]))) for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "shape": pa.array(trees, pa.string())})
+            roots = [parse(h) for h in batch.column("html").to_pylist()]
+            trees = [json.dumps(dump(Shape("html", [r]))) if text_blocks(r) else None for r in roots]
+            yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "place": batch.column("place"), "shape": pa.array(trees, pa.string())})
 
-    return chosen.mapInArrow(shapes, "host long, shape string").groupBy("host").agg(F.min("shape").alias("shape"))
+    found = chosen.mapInArrow(shapes, "host long, place long, shape string").where("shape IS NOT NULL")
+    return found.groupBy("host").agg(F.min(F.struct("place", "shape")).alias("first")).select("host", "first.shape")
 
 
 class Shapes:
@@ -289,16 +295,16 @@ class Shapes:
 
 
 def blocks(pages: DataFrame, chosen: DataFrame) -> DataFrame:
-    """page_id, url, host, page (a hash of the html) and blocks: the text blocks with the hash of slot and text, null outside the pivot's slots."""
+    """page_id, url, host, page (a hash of the html) and blocks: the text blocks with the hashes of slot and text, null outside the pivot's slots, and of chain and text."""
     fields = [pages.schema["page_id"], pages.schema["url"], T.StructField("host", T.LongType()), T.StructField("page", T.LongType())]
-    schema = T.StructType([*fields, T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("block", T.LongType()), T.StructField("text", T.StringType())])))])
+    schema = T.StructType([*fields, T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("block", T.LongType()), T.StructField("chain", T.LongType()), T.StructField("text", T.StringType())])))])
 
     def rows(batches):
         shapes = Shapes()
         for batch in batches:
-            out = [[(None if slot is None else block_hash(slot, t), t) for t, slot in aligned(parse(html), shapes.of(shape))] for html, shape in zip(batch.column("html").to_pylist(), batch.column("shape").to_pylist(), strict=True)]
+            out = [[(None if slot is None else block_hash(slot, t), block_hash(chain, t), t) for t, slot, chain in aligned(parse(html), shapes.of(shape))] for html, shape in zip(batch.column("html").to_pylist(), batch.column("shape").to_pylist(), strict=True)]
             at = np.cumsum([0, *map(len, out)])
-            inner = pa.StructArray.from_arrays([pa.array([b for x in out for b, _ in x], pa.int64()), pa.array([t for x in out for _, t in x], pa.string())], ["block", "text"])
+            inner = pa.StructArray.from_arrays([pa.array([b for x in out for b, _, _ in x], pa.int64()), pa.array([c for x in out for _, c, _ in x], pa.int64()), pa.array([t for x in out for _, _, t in x], pa.string())], ["block", "chain", "text"])
             yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("page_id", "url", "host", "page")} | {"blocks": pa.ListArray.from_arrays(pa.array(at, pa.int32()), inner)})
 
     joined = pages.join(maybe_broadcast(chosen), "host", "left")
@@ -311,11 +317,15 @@ def extract(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataF
     chosen = materialize(pivots(pages, least), "pivots")
     read = materialize(blocks(pages, chosen), "blocks")
     # exact copies of a page count once: rows are distinct by (block, page) before they are counted
-    seen = read.where("host IS NOT NULL").select("host", "page", F.explode(F.array_distinct("blocks.block")).alias("block")).where("block IS NOT NULL").distinct()
-    counted = seen.groupBy("host", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    # lacks: whether the key may decide: a slot always, a chain if on some page its block is outside the pivot's slots
+    slots = F.transform("blocks", lambda b: F.struct(b["block"].alias("block"), F.lit(True).alias("lacks")))
+    chains = F.transform("blocks", lambda b: F.struct(b["chain"].alias("block"), b["block"].isNull().alias("lacks")))
+    seen = read.where("host IS NOT NULL").select("host", "page", F.inline(F.array_distinct(F.concat(slots, chains)))).where("block IS NOT NULL")
+    seen = seen.groupBy("host", "page", "block").agg(F.max("lacks").alias("lacks"))
+    counted = seen.groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"), F.max("lacks").alias("lacks")).where((F.col("n") >= least) & F.col("lacks"))
     number = read.where("host IS NOT NULL").select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     template = counted.join(number, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("block").alias("template"))
     wrappers = materialize(template, "wrappers")  # hosts without a constant have no row
-    content = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("template", b["block"]), F.lit(False)))
+    content = F.filter("blocks", lambda b: ~(F.coalesce(F.array_contains("template", b["block"]), F.lit(False)) | F.coalesce(F.array_contains("template", b["chain"]), F.lit(False))))
     text = F.array_join(F.transform(content, lambda b: b["text"]), "\n")
     return read.join(maybe_broadcast(wrappers), "host", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
