@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The temporary folder of each local session that names none.
+_LOCAL: dict[str, str] = {}
+#: Where the tables that `materialize` wrote are.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints; a temporary one only where driver and tasks are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -25,21 +33,50 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    found = tempfile.mkdtemp(prefix="tidewell-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidewell-"))
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings (with __ for a dot) for as long as a step runs."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to a table in the shared folder and read it back: work is done once, and a lost executor loses nothing of it."""
+    """Write df to a table in the shared folder and read it back: work is done once, and a lost executor loses nothing of it.
+
+    What was shuffled on the way is no longer needed then, so Spark removes it at once.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxBytesPerBatch="8m"):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that `materialize` wrote and that nothing still to be computed reads."""
+    for df in tables:
+        if df is not None and (path := _WRITTEN.pop(df, None)):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,10 +5,13 @@ two sets that are similar enough share a token among the first n - ceil(t * n) +
 frequent tokens last and rank the others by a hash of their own, so candidates must share prefix tokens
 under independent orders, as often as the threshold demands (`needed`), before they are verified on whole sets.
 
+Candidates meet one more exact filter before whole sets are compared: each set has a bitmap of its tokens, a few bits a token, and two
+bitmaps cannot differ in more bits than the sets differ in tokens.
+
 Links are wanted only as far as they decide the components, so nodes that agree in a min-hash band are first verified against
 hubs among them: one in the first round, then, where a band still spans components, the most central node of each of HUBS hash
-classes. Central is what lies near the sum of all sets, as copies that hardly differ from their original do, and those link with most
-of a group. So a group of near copies becomes a few components with some links a node, and the prefix join then
+classes. Central is a node whose min-hashes many others have, as copies that hardly differ from their original do, and those link with
+most of a group. So a group of near copies becomes a few components with some links a node, and the prefix join then
 looks only for pairs between components. No pair that could join two components is skipped: the rounds only save work.
 
 Which tokens are frequent is estimated from a hashed sixteenth of the nodes. It decides the orders, which may be any,
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import materialize, maybe_broadcast, mix, slices, utf8
+from tidewell.llm.common import discard, materialize, maybe_broadcast, mix, slices, utf8
 from tidewell.llm.components import components, merged
 from tidewell.llm.tokens import SPACE
 
@@ -44,6 +47,8 @@ ROUNDS, HUBS = 2, 8
 SAMPLED, FREQUENT, LAST = 16, 4, 500_000
 ORDERS = 2
 SLICE = 2 << 20
+#: What a task gathers before it hands rows on, in bytes.
+HELD = 4 << 20
 LABELS = 400_000
 C = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -95,20 +100,47 @@ def node_of(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """The tokens of a set as bits, numbered by their low bits: 2 to 4 bits a token, a power of two in all, as bytes."""
+    size = max(64, 1 << (2 * len(own) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(own & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> bool:
+    """Whether sets with these bitmaps and sizes can be similar enough: what differs in bits differs in tokens."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]  # the bitmap of half the size
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    differ = int(np.bitwise_count(x ^ y).sum())
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (nx + ny)
+
+
+def minima(own: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The low halves of a set's min-hashes."""
+    low = np.full(len(by), ~np.uint64(0))
+    for lo in range(0, len(own), 1 << 14):
+        np.minimum(low, (own[None, lo : lo + (1 << 14)] * by[:, None]).min(axis=1), out=low)
+    return low.astype(np.uint32).view(np.int32)
+
+
 def sets(docs: DataFrame, key: str) -> DataFrame:
-    """key, own (a hash of the text), node (a hash of the set), n (its size), mins (the low halves of its min-hashes)."""
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("own", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("mins", T.ArrayType(T.IntegerType()))])
+    """key, own (a hash of the text), node (a hash of the set), n (its size), mins (the low halves of its min-hashes), bits (its bitmap)."""
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("own", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("mins", T.ArrayType(T.IntegerType())), T.StructField("bits", T.BinaryType())])
     by = mix(np.arange(1000, 1000 + MINS, dtype=np.uint64)) | np.uint64(1)
 
     def rows(batches):
         for batch in batches:
-            node, n, mins = [], [], []
+            node, n, mins, bits = [], [], [], []
             for _, own in shingle_sets(batch.column(1)):
                 node.append(node_of(own))
                 n.append(len(own))
-                low = np.array([(own * b).min() for b in by]) if len(own) else np.zeros(MINS, np.uint64)
-                mins.append(low.astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_pydict({key: batch.column(0), "own": batch.column(2), "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), "mins": pa.array(mins, pa.list_(pa.int32()))})
+                mins.append(minima(own, by))
+                bits.append(bitmap(own).tobytes() if len(own) else None)
+            at = pa.array(np.arange(len(mins) + 1, dtype=np.int32) * MINS)
+            yield pa.RecordBatch.from_pydict({key: batch.column(0), "own": batch.column(2), "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), "mins": pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int32), *mins]))), "bits": pa.array(bits, pa.binary())})
 
     return docs.select(key, "text", text_hash()).mapInArrow(rows, schema)
 
@@ -129,7 +161,7 @@ def tokens(docs: DataFrame, key: str, order: int | None = None, last=None) -> Da
     def rows(batches):
         seen: set[int] = set()
         for batch in batches:
-            node, token = [], []
+            node, token, held = [], [], 0
             for _, own in shingle_sets(batch.column(1)):
                 if not len(own) or (n := node_of(own)) in seen:
                     continue
@@ -143,10 +175,15 @@ def tokens(docs: DataFrame, key: str, order: int | None = None, last=None) -> Da
                     own = own[np.argpartition(rank, k - 1)[:k]] if k < len(own) else own
                 node.append(np.full(len(own), n, np.int64))
                 token.append(signed(own))
+                held += 16 * len(own)
+                if held >= HELD:
+                    yield pa.RecordBatch.from_pydict({"node": pa.array(np.concatenate(node)), "token": pa.array(np.concatenate(token))})
+                    node, token, held = [], [], 0
             if node:
                 yield pa.RecordBatch.from_pydict({"node": pa.array(np.concatenate(node)), "token": pa.array(np.concatenate(token))})
 
-    return docs.select(key, "text").mapInArrow(rows, "node long, token long")
+    schema = T.StructType([T.StructField("node", T.LongType(), False), T.StructField("token", T.LongType(), False)])
+    return docs.select(key, "text").mapInArrow(rows, schema)
 
 
 def frequent(docs: DataFrame, key: str):
@@ -164,34 +201,69 @@ def needed(x: Column, y: Column) -> Column:
 
 
 def candidates(rows: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """a, b, na, nb: pairs of different components that share as many of these prefix tokens as they need."""
+    """a, b, na, nb: pairs of different components that share as many of these prefix tokens as they need.
+
+    Prefix tokens are shuffled once, by token; which of them meet in several components, and the rows that have these, are both read from
+    that shuffle. The few such tokens are hashed, so that the many rows need no sorting.
+    """
     known = maybe_broadcast(comps.select("node", "component"))
-    placed = rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = rows.repartition("token").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     spread = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    spread = maybe_broadcast(materialize(spread, "spread-tokens"), LABELS)
-    kept = materialize(placed.join(spread, "token").join(nodes.select("node", "n"), "node"), "spread-rows")
+    kept = materialize(placed.join(spread.hint("shuffle_hash"), "token").join(nodes.select("node", "n"), "node"), "spread-rows")
     x = kept.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     y = kept.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     near = (F.lit(PERCENT) * F.col("na") <= 100 * F.col("nb")) & (F.lit(PERCENT) * F.col("nb") <= 100 * F.col("na"))
     pairs = x.join(y, (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near)
     counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("na").alias("na"), F.min("nb").alias("nb"))
-    return counted.where(F.col("shared") >= needed(F.col("na"), F.col("nb"))).drop("shared")
+    found = materialize(counted.where(F.col("shared") >= needed(F.col("na"), F.col("nb"))).drop("shared"), "candidates")
+    discard(kept)
+    return found
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """The nodes of pairs (a, b)."""
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps let them be similar enough: none that is goes."""
+    asked = materialize(nodes.select("node", "n", "bits").join(ends(pairs), "node"), "bitmaps")
+    side = lambda end: asked.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"{end}_bits"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "a_bits", "b_bits")
+
+    def rows(batches):
+        for batch in batches:
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column(k)] for k in ("a_bits", "b_bits"))
+            n, m = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
+            yield batch.select(["a", "b"]).filter(pa.array(list(map(may_link, x, y, n, m)), pa.bool_()))
+
+    found = materialize(both.mapInArrow(rows, "a long, b long"), "close")
+    discard(asked)
+    return found
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    labels = materialize(nodes.join(asked, "node").select("node", "label"), "asked")
+    pairs = close(pairs, nodes)
+    labels = materialize(nodes.join(ends(pairs), "node").select("node", "label"), "asked")
 
     def whole(batches):
         seen: set[int] = set()
         for batch in batches:
-            found = {n: own for _, own in shingle_sets(batch.column(1)) if (n := node_of(own)) not in seen}
-            seen |= found.keys()
-            yield pa.RecordBatch.from_pydict({"node": pa.array(list(found), pa.int64()), "own": pa.array([x.tobytes() for x in found.values()], pa.binary())})
+            found, held = {}, 0
+            for _, own in shingle_sets(batch.column(1)):
+                if len(own) and (n := node_of(own)) not in seen:
+                    seen.add(n)
+                    found[n] = own.tobytes()
+                    held += len(found[n])
+                if held >= HELD:
+                    yield pa.RecordBatch.from_pydict({"node": pa.array(list(found), pa.int64()), "own": pa.array(list(found.values()), pa.binary())})
+                    found, held = {}, 0
+            yield pa.RecordBatch.from_pydict({"node": pa.array(list(found), pa.int64()), "own": pa.array(list(found.values()), pa.binary())})
 
     stored = only(docs, labels, key).mapInArrow(whole, "node long, own binary").join(maybe_broadcast(labels.select("node"), LABELS), "node", "left_semi")
-    stored = materialize(stored.dropDuplicates(["node"]), "sets")
+    written = materialize(stored, "sets")
+    stored = written.dropDuplicates(["node"])  # the same shuffle brings a pair's first set to it
     both = pairs.select("a", "b").join(stored.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(stored.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
 
     def similar(batches):
@@ -203,57 +275,72 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str) -> D
                 keep.append(100 * same >= PERCENT * (len(x) + len(y) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long").distinct()
+    found = materialize(both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long").distinct(), "verified")
+    discard(pairs, labels, written)
+    return found
 
 
-def central(docs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """node, score: the cosine, but for a factor, of its set with the sum of the sets of all these nodes."""
-    each = tokens(only(docs, materialize(nodes.select("label"), "asked"), key), key)
-    shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("has")).where("has > 1")
-    total = each.join(materialize(shared, "shared"), "token").groupBy("node").agg(F.sum("has").alias("total"))
-    return total.join(nodes.select("node", "n"), "node").select("node", (F.col("total") / F.sqrt("n")).alias("score"))
+def central(nodes: DataFrame) -> DataFrame:
+    """node, score: how often these nodes have its min-hashes, which is how similar it is to them on average, but for a factor."""
+    each = nodes.select("node", F.posexplode("mins").alias("place", "low"))
+    has = each.groupBy("place", "low").agg(F.count(F.lit(1)).alias("has"))
+    return each.join(has, ["place", "low"]).groupBy("node").agg(F.sum("has").cast("double").alias("score"))
 
 
-def hubs(docs: DataFrame, nodes: DataFrame, comps: DataFrame | None, turn: int, key: str) -> DataFrame:
+def hubs(nodes: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
     """a, b: nodes with the hubs of their bands, if these are of other components and their min-hashes agree enough."""
     bands = F.array(*[F.xxhash64(F.lit(j), *[F.col("mins")[j * ROWS + i] for i in range(ROWS)]) for j in range(BANDS)])
     placed = nodes.select("node", F.col("node").alias("component"), F.explode(bands).alias("band"))
     if comps is not None:
         placed = placed.drop("component").join(maybe_broadcast(comps), "node", "left").withColumn("component", F.coalesce("component", "node"))
     spread = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    placed = materialize(placed.join(maybe_broadcast(materialize(spread, "spread-bands")), "band"), "placed")
-    mins = materialize(nodes.join(placed.select("node").distinct(), "node"), "mins")
-    placed, score = placed.join(mins.select("node", "mins"), "node"), F.lit(0.0)
+    spread = materialize(spread, "spread-bands")
+    banded = materialize(placed.join(maybe_broadcast(spread), "band"), "placed")
+    mins = materialize(nodes.select("node", "mins").join(banded.select("node").distinct(), "node"), "mins")
+    placed, score, scores = banded.join(mins, "node"), F.lit(0.0), None
     if comps is not None:
-        scores = central(docs, mins, key)
-        placed, score = placed.join(maybe_broadcast(materialize(scores, "scores")), "node", "left"), F.coalesce("score", F.lit(0.0))
+        scores = materialize(central(mins), "scores")
+        placed, score = placed.join(maybe_broadcast(scores), "node", "left"), F.coalesce("score", F.lit(0.0))
     tie = F.xxhash64("node", F.lit(turn))
     kind = F.pmod(tie, F.lit(1 if comps is None else HUBS)).alias("kind")
     best = placed.groupBy("band", kind).agg(F.max(F.struct(score.alias("score"), tie.alias("tie"), F.col("node").alias("hub"), F.col("component").alias("theirs"))).alias("best"))
-    best = best.select("band", "best.hub", "best.theirs").join(mins.select(F.col("node").alias("hub"), F.col("mins").alias("own")), "hub")
-    pairs = placed.join(maybe_broadcast(materialize(best, "best")), "band").where("component != theirs")
+    best = materialize(best.select("band", "best.hub", "best.theirs").join(mins.select(F.col("node").alias("hub"), F.col("mins").alias("own")), "hub"), "best")
+    pairs = placed.join(maybe_broadcast(best), "band").where("component != theirs")
     agree = F.size(F.filter(F.zip_with("mins", "own", lambda x, y: x == y), lambda same: same))
-    return pairs.where(100 * agree >= AGREE * MINS).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    found = materialize(pairs.where(100 * agree >= AGREE * MINS).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "hubs")
+    discard(spread, banded, mins, scores, best)
+    return found
 
 
 def grouped(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """The rows' sets, and label and component of each node."""
     made = materialize(sets(docs, key), "sets")
-    nodes = materialize(made.where("n > 0").groupBy("node").agg(F.min(key).alias("label"), F.max("n").alias("n"), F.first("mins").alias("mins")), "nodes")
+    first = F.first(F.struct("mins", "bits")).alias("first")
+    nodes = materialize(made.where("n > 0").groupBy("node").agg(F.min(key).alias("label"), F.max("n").alias("n"), first).select("node", "label", "n", "first.*"), "nodes")
     reps = only(docs, nodes, key)
     comps = None
     for turn in range(ROUNDS):
-        links = verified(materialize(hubs(docs, nodes, comps, turn, key), "hubs"), docs, nodes, key)
-        comps = materialize(components(links) if comps is None else merged(comps, links), "components")
+        tried = hubs(nodes, comps, turn)
+        links = verified(tried, docs, nodes, key)
+        new = materialize(components(links) if comps is None else merged(comps, links), "components")
+        discard(tried, links, comps)
+        comps = new
     late = frequent(reps, key)
-    pairs = materialize(candidates(tokens(reps, key, 0, late), nodes, comps), "candidates")
+    pairs = candidates(tokens(reps, key, 0, late), nodes, comps)
     for order in range(1, ORDERS):
-        asked = materialize(nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node").select("node", "label"), "asked")
+        asked = materialize(nodes.join(ends(pairs), "node").select("node", "label"), "asked")
         rows = tokens(only(docs, asked, key), key, order, late)
-        pairs = materialize(pairs.join(candidates(rows, nodes, comps).select("a", "b"), ["a", "b"]), "candidates")
-    comps = materialize(merged(comps, verified(pairs, docs, nodes, key)), "components")
-    named = nodes.select("node", "label").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return made, materialize(named, "named")
+        other = candidates(rows, nodes, comps)
+        new = materialize(pairs.join(other.select("a", "b"), ["a", "b"]), "candidates")
+        discard(asked, pairs, other)
+        pairs = new
+    links = verified(pairs, docs, nodes, key)
+    new = materialize(merged(comps, links), "components")
+    discard(comps, pairs, links)
+    named = nodes.select("node", "label").join(new, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialize(named, "named")
+    discard(nodes, new)
+    return made, named
 
 
 def link(docs: DataFrame, key: str = "doc_id") -> DataFrame:
