@@ -13,6 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidewell.llm import components, decontamination, embedding_dedup, html_extract, jaccard_join, packing, queries, secrets, sharding, token_counts, token_output, tokens, toxicity
 
@@ -107,14 +108,24 @@ def test_shard_placement(spark, tmp_path):
 
 @pytest.mark.parametrize("name", [packing.VOCABULARY, token_output.VOCABULARY])
 @settings(max_examples=30, deadline=None)
-@given(texts=st.lists(st.text(alphabet=st.sampled_from(list("ab É\n.,!'s1́ß\t 日Z<|>_-")), max_size=60), max_size=8))
+@given(texts=st.lists(st.lists(st.one_of(st.text(alphabet=st.sampled_from(list("ab É\n.,!'s1́ß\t 日Z<|>_-\u3000")), max_size=30), st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " <|endoftext|> ", "<|endof", "text|>"])), max_size=4).map("".join), max_size=8))
 def test_units_are_whole_texts(name, texts):
-    coder = tokens.encoder(tokens.tokenizer_path(name))
-    wanted = [x.ids for x in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    found = [ids[at[i] : at[i + 1]].tolist() for lo, hi, ids, at in coder.encode(pa.array(texts, pa.string())) for i in range(hi - lo)]
+    library = Tokenizer.from_file(tokens.tokenizer_path(name))  # as it is
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    found = [ids[at[i] : at[i + 1]].tolist() for lo, hi, ids, at in tokens.encoder(tokens.tokenizer_path(name)).encode(pa.array(texts, pa.string())) for i in range(hi - lo)]
     assert found == wanted
 
 
+def test_added_tokens_in_texts(spark):
+    text = "hello <|endoftext|> world"
+    own = docs(spark, [text, "plain"], [1, 2])
+    for name, last, run in ((packing.VOCABULARY, 0, packing.pack), (token_output.VOCABULARY, 2, token_output.token_output)):
+        ids = [*Tokenizer.from_file(tokens.tokenizer_path(name)).encode(text, add_special_tokens=False).ids, last]
+        r = run(own).where("doc_id = 1").first()
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert ids[1] == 49407
+
+
 def best_fit(lengths, size):
     rooms, out = [], []
     for n in sorted(lengths, reverse=True):
@@ -142,7 +153,7 @@ def test_plan_is_best_fit_decreasing(lengths):
 
 
 def test_packing(spark, given_docs):
-    coder = tokens.encoder(tokens.tokenizer_path(packing.VOCABULARY)).tokenizer
+    coder = Tokenizer.from_file(tokens.tokenizer_path(packing.VOCABULARY))
     packed = packing.pack(spark.read.parquet(f"{SF}/documents.parquet"), with_ids=True)
     rows, used = packed.collect(), defaultdict(list)
     pieces = defaultdict(list)
@@ -178,7 +189,7 @@ def test_packing_odd_inputs(spark):
 
 
 def test_token_output(spark, given_docs):
-    coder = tokens.encoder(tokens.tokenizer_path(token_output.VOCABULARY)).tokenizer
+    coder = Tokenizer.from_file(tokens.tokenizer_path(token_output.VOCABULARY))
     found = {r["doc_id"]: r for r in queries.op6_token_output(spark, SF).collect()}
     start = 0
     for i in sorted(given_docs):
