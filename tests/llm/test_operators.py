@@ -47,14 +47,59 @@ def test_toxicity_automaton():
     g = toxicity.built_in()
     rule = lambda s: [toxicity.RULES[r] for r, _ in g.clauses(s)]
     assert rule("You idiot. He is not a moron; they said you are scum\nI will kill you") == ["targeted", "negated", "reported", "threat"]
+    assert rule("They said: you are scum") == rule("They said you are scum") == ["reported"]
+    assert rule('He wrote "you are scum. You idiot!" You moron') == ["reported", "reported", "targeted"]
+    assert rule("It is said. You idiot") == ["targeted"] and rule('"You idiot" is rude') == ["targeted"]
     assert rule("kill the lights") == [] and rule("worthless") == ["plain"] and rule("") == []
     assert g.score("you idiot") > g.score("she said you idiot") > g.score("the weather")
 
 
+def read_clause(classes):
+    """The rule of each word of a clause, by the definition: what stands how near before it."""
+    out = []
+    for i, c in enumerate(classes):
+        near = set(classes[max(0, i - toxicity.REACH) : i])
+        hit = c == "insult" or (c == "threat" and "intent" in near)
+        rule = "negated" if "negation" in near else "reported" if "report" in classes[:i] else "threat" if c == "threat" else "targeted" if "target" in near else "plain"
+        out.append(rule if hit else None)
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(classes=st.lists(st.sampled_from(toxicity.SYMBOLS), max_size=12))
+def test_composition(classes):
+    a, state, found = toxicity.compose(), 0, []
+    for c in classes:
+        i = toxicity.SYMBOLS.index(c)
+        found.append(toxicity.RULES[a.rule[state][i]] if a.rule[state][i] >= 0 else None)
+        state = a.next[state][i]
+    assert found == read_clause(classes)
+
+
+def test_toxicity_scores(spark):
+    """Every score of the query is the grammar's own of that text, with terms counted from the labels by brute force."""
+    sf = "/root/testdata/sf0.001"
+    own, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    grammar = toxicity.fit(own, labels)
+    text = {r["doc_id"]: r["text"] for r in own.collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["doc_id"] in text}
+    bad, good = Counter(), Counter()
+    for i, t in toxic.items():
+        (bad if t == 1 else good).update(set(re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", text[i].lower())))
+    n_bad, n_good = sum(t == 1 for t in toxic.values()), sum(t != 1 for t in toxic.values())
+    lift = {w: (bad[w] + 0.5) / (n_bad + 1) * (n_good + 1) / (good[w] + 0.5) for w in bad}
+    terms = {w: np.log(v) for w, v in lift.items() if v >= toxicity.LIFT and bad[w] >= toxicity.SUPPORT}
+    learnt = {w: v for w, (_, v) in grammar.terms.items() if v not in (0.0, toxicity.BUILT_IN)}
+    assert learnt.keys() <= terms.keys() and all(abs(learnt[w] - terms[w]) < 1e-9 for w in learnt) and len(learnt) == len(terms)
+    found = queries.op1_toxicity(spark, sf).collect()
+    assert len(found) == len(text) and all(abs(r["score"] - grammar.score(text[r["doc_id"]])) < 1e-12 for r in found)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     found = queries.op1_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
-    assert np.mean([r["predicted"] == r["toxic"] for r in found]) > 0.93
+    toxic = [r["predicted"] for r in found if r["toxic"] == 1]
+    assert np.mean([r["predicted"] == r["toxic"] for r in found]) > 0.93 and np.mean(toxic) > 0.7
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in found)
 
 

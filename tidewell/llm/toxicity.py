@@ -1,13 +1,17 @@
 """Score documents for toxicity with a weighted finite-state pattern grammar.
 
-Five transducers read a clause's words: insults and threats emit a weighted match, targets raise it, negation
-and reported speech lower it. Their composition is one automaton whose state is the tuple of theirs; for each
-matched clause it tells the rule (plain, targeted, negated, reported, threat) and the weight. A document's score is the logistic
-function of its rules' summed weights.
+Five transducers read a clause's words in cascade, each passing on the word's class and the mark that the ones before it gave: the insult
+transducer marks an insult *plain*, the threat transducer marks a threat word behind an intent, the target transducer makes a plain mark
+near a target *targeted*, reported speech makes any mark *reported*, negation makes it *negated*. `compose` builds their product, one
+automaton over word classes with every reachable state. Each matched clause gives its strongest mark, the rule, with the weight of
+the term; a document's score is the logistic function of its rules' summed weights.
+
+A clause ends at a full stop and the like; a colon, a comma and a quotation mark do not end it, and what is quoted after a
+report is reported to the closing mark, over several clauses.
 
 `fit` learns the terms (words, and stems that several words share) and their weights from labelled documents as
-log-odds, and then the rules' weights. It reads at most ``SAMPLE`` labelled rows (the lowest by hash of their id) and keeps at
-most ``TERMS`` terms; scoring reads every document whole. Labels of ids whose crc32 modulo 3 is 1 are never used.
+log-odds, and then the rules' weights. It reads at most ``SAMPLE`` labelled rows (the lowest by hash of their id), which also bounds the
+terms, all of which are kept; scoring reads every document whole. Labels of ids whose crc32 modulo 3 is 1 are never used.
 
 Null or empty text has no clause and gets the score of such. Null ids are scored but never used as labels; repeated label rows
 count once (toxic if any says so). With no usable labels the built-in terms and rule weights hold.
@@ -18,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +34,8 @@ from pyspark.sql import types as T
 from tidewell.llm.common import materialize, slices, utf8
 from tidewell.llm.tokens import SLICE_BYTES
 
-#: Labelled rows that terms and weights are learnt from, and terms kept.
+#: Labelled rows that terms and weights are learnt from.
 SAMPLE = 20_000
-TERMS = 5_000
 THRESHOLD = 0.7
 #: A term is learnt if so many toxic documents have it and it is so many times likelier in them.
 SUPPORT, LIFT = 4, 20.0
@@ -48,39 +52,104 @@ RULES = ("plain", "targeted", "negated", "reported", "threat")
 PRIOR = np.array([-3.0, 1.2, 1.5, 0.6, 0.6, 1.5])  # the intercept, then the rules
 BUILT_IN = 4.0  # the weight of a built-in term that labels say nothing about
 REACH = 3  # words over which a negation, target or intent is carried
+REMEMBERED = 200_000  # words that a worker knows the class of: bounds its memory
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-CLAUSE = re.compile(r"[.!?;:\n]+")
+CLAUSE = re.compile(r"[.!?;\n]+")
+OPENING, CLOSING = "“„«‹", "”»›"
+QUOTES = OPENING + CLOSING + '"'
+TOKEN = re.compile(rf"{WORD.pattern}|[{QUOTES}]")
 
 
-class Carried:
-    """A transducer that remembers for ``reach`` words that a word of its class was read."""
+class Transducer:
+    """Reads (word class, mark) and passes the mark on, changed or not. Its state: for how many more words it remembers its class."""
 
-    def __init__(self, symbol: str, reach: int):
-        self.symbol, self.reach = symbol, reach
+    remembers: str | None = None
+    reach = 0
 
-    def step(self, state: int, symbol: str) -> int:
-        return self.reach if symbol == self.symbol else max(0, state - 1)
+    def mark(self, state: int, symbol: str, mark: str | None) -> str | None:
+        raise NotImplementedError
 
+    def step(self, state: int, symbol: str, mark: str | None) -> tuple[int, str | None]:
+        after = self.reach if symbol == self.remembers else max(0, state - 1)
+        return after, self.mark(state, symbol, mark)
 
-class Composed:
-    """The composition of the carried transducers with the two that match; transitions are stored as they are met."""
 
-    parts = (Carried("negation", REACH), Carried("report", 1 << 10), Carried("target", REACH), Carried("intent", REACH))
+class Insult(Transducer):
+    def mark(self, state, symbol, mark):
+        return "plain" if symbol == "insult" else mark
 
-    def __init__(self):
-        self.table: dict[tuple, tuple[tuple, int]] = {}
 
-    def read(self, state: tuple, symbol: str) -> tuple[tuple, int]:
-        """The next state and the matched rule's place in RULES, -1 for none."""
-        found = self.table.get((state, symbol))
-        if found is None:
-            negated, reported, targeted, intended = state
-            rule = -1
-            if symbol == "insult" or (symbol == "threat" and intended):
-                rule = 2 if negated else 3 if reported else 4 if symbol == "threat" else 1 if targeted else 0
-            found = self.table[state, symbol] = tuple(p.step(s, symbol) for p, s in zip(self.parts, state, strict=True)), rule
-        return found
+class Threat(Transducer):
+    remembers, reach = "intent", REACH
+
+    def mark(self, state, symbol, mark):
+        return "threat" if symbol == "threat" and state else mark
+
+
+class Target(Transducer):
+    remembers, reach = "target", REACH
+
+    def mark(self, state, symbol, mark):
+        return "targeted" if mark == "plain" and state else mark
+
+
+class Reported(Transducer):
+    """Speech stays reported to the end of what was begun."""
+
+    remembers, reach = "report", 1
+
+    def step(self, state, symbol, mark):
+        return int(state or symbol == "report"), self.mark(state, symbol, mark)
+
+    def mark(self, state, symbol, mark):
+        return "reported" if mark and state else mark
+
+
+class Negation(Transducer):
+    remembers, reach = "negation", REACH
+
+    def mark(self, state, symbol, mark):
+        return "negated" if mark and state else mark
+
+
+SYMBOLS = ("insult", "threat", "target", "negation", "report", "intent", "other")
+CASCADE = (Insult(), Threat(), Target(), Reported(), Negation())
+
+
+class Composed:
+    """The product of transducers in cascade over SYMBOLS: next[state][symbol] and rule[state][symbol] (a place in RULES, -1: no match)."""
+
+    def __init__(self, parts: tuple[Transducer, ...]):
+        number, todo = {(0,) * len(parts): 0}, [(0,) * len(parts)]
+        self.next: list[list[int]] = []
+        self.rule: list[list[int]] = []
+        self.states = todo  # each state's tuple, by its number
+        for state in todo:  # grows as states are reached
+            after, rules = [], []
+            for symbol in SYMBOLS:
+                own, mark = [], None
+                for part, s in zip(parts, state, strict=True):
+                    s, mark = part.step(s, symbol, mark)
+                    own.append(s)
+                if tuple(own) not in number:
+                    number[tuple(own)] = len(number)
+                    todo.append(tuple(own))
+                after.append(number[tuple(own)])
+                rules.append(RULES.index(mark) if mark else -1)
+            self.next.append(after)
+            self.rule.append(rules)
+        at = next((i for i, p in enumerate(parts) if isinstance(p, Reported)), None)
+        #: Where a clause begins: afresh, or in speech that is still reported.
+        self.start = {False: 0, True: number.get(tuple(int(i == at) for i in range(len(parts))), 0)}
+
+    def reported(self, state: int) -> bool:
+        return any(isinstance(p, Reported) and s for p, s in zip(CASCADE, self.states[state], strict=True))
+
+
+@lru_cache(maxsize=1)
+def compose() -> Composed:
+    return Composed(CASCADE)
 
 
 @dataclass
@@ -90,7 +159,7 @@ class Grammar:
     weights: list[float]
 
     def __post_init__(self):
-        self.automaton = Composed()
+        self.automaton = compose()
 
     def of(self, word: str) -> tuple[str, float]:
         """A word's class and weight."""
@@ -104,12 +173,21 @@ class Grammar:
 
     def clauses(self, text: str) -> list[tuple[int, float]]:
         """Rule and weight of each clause that matches: the strongest match of the clause."""
-        out = []
+        out, quoted, held, a = [], False, False, self.automaton  # held: in a quotation that a report began
         for clause in CLAUSE.split(text.lower()):
-            state, best = (0, 0, 0, 0), None
-            for word in WORD.findall(clause):
+            state, best = a.start[held], None
+            for m in TOKEN.finditer(clause):
+                word = m[0]
+                if word in QUOTES:
+                    if quoted and word not in OPENING:
+                        state = a.start[False] if held else state
+                        quoted = held = False
+                    elif not quoted and word not in CLOSING:
+                        quoted, held = True, a.reported(state)
+                    continue
                 symbol, weight = self.of(word)
-                state, rule = self.automaton.read(state, symbol)
+                i = SYMBOLS.index(symbol)
+                rule, state = a.rule[state][i], a.next[state][i]
                 if rule >= 0 and (best is None or weight > best[1]):
                     best = rule, weight
             if best:
@@ -154,7 +232,7 @@ def learn_terms(train: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     each = each.groupBy("n", "term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count(F.lit(1)).alias("words"))
     lift = (F.col("bad") + 0.5) / (bad + 1) * (good + 1) / (F.col("good") + 0.5)
     kept = each.withColumn("lift", lift).where((F.col("lift") >= LIFT) & (F.col("bad") >= F.when(F.col("n") == 0, SUPPORT).otherwise(STEM_SUPPORT)) & ((F.col("n") == 0) | (F.col("words") >= STEM_WORDS)))
-    top = kept.orderBy(F.desc("bad"), "n", "term").limit(TERMS).collect()
+    top = kept.orderBy("n", "term").collect()  # no more than the sample's words
     return {r["term"]: math.log(r["lift"]) for r in top if r["n"] == 0}, {r["term"]: math.log(r["lift"]) for r in top if r["n"]}
 
 
@@ -177,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = SAM
 
     def features(batches):
         for batch in batches:
-            x = np.array([grammar.features(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, len(RULES))
+            x = np.array([grammar.features(t.as_py() or "") for t in batch.column("text")]).reshape(-1, len(RULES))
             yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic").cast(pa.int64())} | {r: pa.array(x[:, i]) for i, r in enumerate(RULES)})
 
     # no more rows than the sample; those without a match are one row
@@ -195,48 +273,51 @@ def score(docs: DataFrame, grammar: Grammar, key: str = "doc_id") -> DataFrame:
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("score", T.DoubleType())])
 
     def rows(batches):
-        none, known = grammar.score(""), {}
+        scores = Scores(grammar)
         for batch in batches:
-            for lo, _hi, texts in _texts(batch.column(1)):
-                split = pc.utf8_split_whitespace(texts)
-                at = np.asarray(split.offsets)
-                words = split.values.slice(0, int(at[-1])).dictionary_encode()
-                hit = np.zeros(len(words.dictionary), bool)
-                for i, w in enumerate(words.dictionary.to_numpy(zero_copy_only=False)):
-                    own = known.get(w)
-                    if own is None:
-                        if len(known) > 1_000_000:
-                            known.clear()
-                        own = known[w] = grammar.matches(w)
-                    hit[i] = own
-                total = np.concatenate(([0], np.cumsum(hit[words.indices.to_numpy()])))
-                out = np.full(len(texts), none)
-                for i in np.flatnonzero(total[at[1:]] > total[at[:-1]]).tolist():
-                    out[i] = grammar.score(texts[i].as_py())
-                yield pa.RecordBatch.from_pydict({key: batch.column(0).slice(lo, len(texts)), "score": pa.array(out)})
+            for lo, own in scores.of(batch.column(1)):
+                yield pa.RecordBatch.from_pydict({key: batch.column(0).slice(lo, len(own)), "score": pa.array(own)})
 
     return docs.select(key, "text").mapInArrow(rows, schema)
 
 
-def _texts(column):
-    """Row ranges of a text column, as arrays of strings without nulls."""
-    data, off = utf8(column)
-    for lo, hi in slices(off, SLICE_BYTES):
-        yield lo, hi, pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(off[lo : hi + 1] - off[lo]), pa.py_buffer(data[off[lo] : off[hi]]))
+class Scores:
+    """Scores of text columns. A text without a word that can match has the score of the empty text, so only others are read by the grammar."""
+
+    def __init__(self, grammar: Grammar):
+        self.grammar, self.none, self.known = grammar, grammar.score(""), {}
+
+    def of(self, column):
+        """Yields (first row, scores) for row ranges."""
+        data, off = utf8(column)
+        for lo, hi in slices(off, SLICE_BYTES):
+            texts = pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(off[lo : hi + 1] - off[lo]), pa.py_buffer(data[off[lo] : off[hi]]))
+            split = pc.utf8_split_whitespace(texts)
+            at = np.asarray(split.offsets)
+            words = split.values.slice(0, int(at[-1])).dictionary_encode()
+            hit = np.zeros(len(words.dictionary), bool)
+            for i, w in enumerate(words.dictionary.to_numpy(zero_copy_only=False)):
+                own = self.known.get(w)
+                if own is None:
+                    if len(self.known) >= REMEMBERED:
+                        self.known.clear()
+                    own = self.known[w] = self.grammar.matches(w)
+                hit[i] = own
+            total = np.concatenate(([0], np.cumsum(hit[words.indices.to_numpy()])))
+            out = np.full(len(texts), self.none)
+            for i in np.flatnonzero(total[at[1:]] > total[at[:-1]]).tolist():
+                out[i] = self.grammar.score(texts[i].as_py())
+            yield lo, out
 
 
 def rejects(docs: DataFrame, grammar: Grammar, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows whose text scores at least the threshold; all columns stay."""
-    schema = docs.schema
     column = docs.columns.index("text")
 
     def rows(batches):
-        none = grammar.score("")
+        scores = Scores(grammar)
         for batch in batches:
-            keep = []
-            for text in batch.column(column).to_pylist():
-                found = any(grammar.matches(w) for w in (text or "").split())
-                keep.append((grammar.score(text) if found else none) < threshold)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for lo, own in scores.of(batch.column(column)):
+                yield batch.slice(lo, len(own)).filter(pa.array(own < threshold))
 
-    return docs.mapInArrow(rows, schema)
+    return docs.mapInArrow(rows, docs.schema)
