@@ -448,6 +448,38 @@ def test_decontamination_odd_inputs(spark):
     assert decontamination.mark(docs(spark, []).limit(0), benchmark).count() == 0
 
 
+def test_decontamination_recall_near_the_threshold(spark):
+    """Items with edits that bring them around the threshold, short items included: all that brute force finds are found."""
+    rng = np.random.default_rng(11)
+    items, texts = {}, []
+    for i in range(80):
+        n = int(rng.integers(8, 120))
+        w = [f"w{i}x{j}" for j in range(n)]
+        items[i] = " ".join(w)
+        for _ in range(3):
+            own = list(w)
+            for at in sorted(rng.choice(n, int(rng.integers(0, 2 + n // 40)), replace=False), reverse=True):
+                own[at : at + 1] = [["other"], [], [own[at], "more"]][int(rng.integers(3))]
+            texts.append(" ".join([f"x{k}" for k in range(int(rng.integers(0, 30)))] + own + ["z"] * int(rng.integers(0, 9))))
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {r["doc_id"]: list(r["item_ids"]) for r in decontamination.mark(docs(spark, texts), benchmark).collect()}
+    wanted = {d: held(t, {d // 3: items[d // 3]}) for d, t in enumerate(texts)}
+    assert 60 < sum(map(len, wanted.values())) < len(texts) and found == wanted
+
+
+def test_blocks_guarantee_the_radius(spark):
+    """Fingerprints at the radius, with their bits wherever they are, share a filed value in some block."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for _ in range(300):
+        x = int(rng.integers(-(2**63), 2**63 - 1))
+        flips = sum(1 << int(b) for b in rng.choice(64, decontamination.RADIUS, replace=False))
+        rows.append((x, int(np.array((x ^ flips) & (2**64 - 1), np.uint64).view(np.int64))))
+    pairs = spark.createDataFrame(rows, "x long, y long")
+    met = pairs.select(F.arrays_overlap(decontamination.blocks(F.col("x"), decontamination.RADIUS), decontamination.blocks(F.col("y"))).alias("met"))
+    assert met.where("met").count() == len(rows)
+
+
 def test_decontamination_of_reordered_items(spark):
     w = [f"w{i}" for i in range(50)]
     x, items = [f"x{i}" for i in range(80)], {1: " ".join(w), 2: " ".join(w[:30])}
@@ -492,6 +524,21 @@ def test_secret_query(spark, given_docs):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == j for _, k, _ in own) for j in range(3)]
 
 
+def test_many_secrets(spark):
+    """Running totals over more matches than one run of them holds."""
+    texts = ["é token=abcdef%d " % i * 700 for i in range(3)] + ["a" * 24 + " password=" + "b" * 30 + " " + "c" * 25 + "password=" + "d" * 9]
+    found = secrets.scan(docs(spark, texts)).select("text", "found", secrets.redacted(F.col("text"), F.col("found")).alias("clean")).collect()
+    for r in found:
+        own = spans(r["text"])
+        assert [(x["start"], x["rank"], x["end"]) for x in r["found"]] == own
+        out, at = [], 0
+        for a, _, b in own:
+            if a >= at:
+                out.append(r["text"][at:a])
+            at = max(at, b)
+        assert r["clean"] == "[SECRET]".join([*out, r["text"][at:]])
+
+
 def test_redaction(spark):
     found = secrets.scan(docs(spark, ["a password=" + "0" * 30 + " b token:abcdef", "clean"])).select(secrets.redacted(F.col("text"), F.col("found")).alias("t")).collect()
     assert [r["t"] for r in found] == ["a [SECRET] b [SECRET]", "clean"]

@@ -54,3 +54,18 @@ def test_copies_by_row(spark):
     (two,) = [t for i, t in found if i == 2]
     assert two in (b, b + " more")
     assert found == sorted([(1, a), (2, two), (3, c), (None, d), (4, e), (None, None), (None, ""), (5, ""), (5, "")], key=str)
+
+
+def test_clashing_columns(spark):
+    """Columns that stages use names of keep their values, whatever they are called."""
+    long = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    names = ["found", "item_ids", "kinds", "node", "row", "own", "candidate_key", "candidate_kinds", "decontamination_row", "row_key", "row_times", "component"]
+    texts = [long("a"), long("a"), "password=abcdefgh " + long("b"), None]
+    rows = [(i, t, "en", "s", len(t or ""), *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        kept = stage(spark, own, SF)
+        assert kept.columns == own.columns
+        for r in kept.collect():
+            assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names]
+    assert kept.where("doc_id = 2").first()["text"] == "[SECRET] " + long("b")

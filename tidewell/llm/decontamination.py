@@ -4,9 +4,11 @@
    it is shorter) are begun at each shingle of a document that is an item's of that size. Any window can be moved right to its first
    such shingle, or to the document's end, without losing one, so these include a best one, in whatever order the item's parts stand.
    Windows with fewer such shingles than the threshold demands of an item of that size cannot match and are left out.
-2. Each window and each item has a 64-bit SimHash of its shingles, by their number. Fingerprints within ``RADIUS`` bits of each other agree
-   on at least one of RADIUS + 1 blocks of bits: windows meet items of their size by equal blocks, then by distance. Two sets at the
-   threshold differ in ten bits on average, with a deviation of three, so a radius of 23 loses none in practice.
+2. Each window and each item has a 64-bit SimHash of its shingles, by their number. It is cut into ``BLOCKS`` blocks of eight bits. Two
+   fingerprints within ``RADIUS`` bits of each other differ in at most RADIUS // BLOCKS bits in one of these, so an item is filed in each
+   block under all values so near its own, and windows look up items of their size by their own value: no pair within the
+   radius is missed. Then the distance is taken. Two sets at the threshold differ in ten bits on average, with a deviation of three, so a
+   radius of 23 is not expected to lose one in a hundred thousand.
 3. What is left is verified exactly: the weighted Jaccard similarity of the shingle multisets must reach ``PERCENT``.
 
 Words and shingles are those of the Jaccard join (five words; an item with fewer words is one shingle of its own length). Everything is
@@ -17,15 +19,17 @@ Rows that repeat an id have results of their own.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialize, maybe_broadcast
+from tidewell.llm.common import materialize, maybe_broadcast, unused
 
 WORDS = 5
 PERCENT = 80
 RADIUS = 23
+BLOCKS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,10 +50,12 @@ def simhash(own: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda out, b: F.shiftleft(out, 1).bitwiseOR(F.when(bit(b) > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
 
 
-def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
-    """radius + 1 blocks of bits, as (number, value)."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND((1 << (b - a)) - 1).alias("bits")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+def blocks(fingerprint: Column, radius: int = 0) -> Column:
+    """(number, value) of each block of bits; with a radius, all values within radius // BLOCKS bits of a block's own."""
+    width = 64 // BLOCKS
+    masks = [sum(1 << b for b in own) for n in range(radius // BLOCKS + 1) for own in combinations(range(width), n)]
+    value = lambda i: F.shiftrightunsigned(fingerprint, width * i).bitwiseAND((1 << width) - 1)
+    return F.array(*[F.struct(F.lit(i).alias("block"), value(i).bitwiseXOR(m).alias("bits")) for i in range(BLOCKS) for m in masks])
 
 
 def items(benchmark: DataFrame, key: str = "item_id") -> DataFrame:
@@ -87,7 +93,7 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", percent:
     spans = spans.select("row", "n_words", "gram", laid.alias("words")).select("row", "n_words", "gram", own.alias("own")).distinct()
     spans = materialize(spans.withColumn("print", simhash(F.col("own"))), "fingerprints")
     marked = wanted.withColumn("print", simhash(F.col("own")))
-    x = spans.select("row", "n_words", "own", "print", F.explode(blocks(F.col("print"), radius)).alias("b")).select("row", "n_words", "own", "print", "b.*")
+    x = spans.select("row", "n_words", "own", "print", F.explode(blocks(F.col("print"))).alias("b")).select("row", "n_words", "own", "print", "b.*")
     y = marked.select("item_id", "n_words", F.col("own").alias("theirs"), F.col("print").alias("their_print"), F.explode(blocks(F.col("print"), radius)).alias("b")).select("item_id", "n_words", "theirs", "their_print", "b.*")
     y = maybe_broadcast(materialize(y, "item-blocks"))
     met = x.join(y, ["n_words", "block", "bits"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("their_print"))) <= radius)
@@ -98,9 +104,10 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", percent:
     return met.where(100 * both >= percent * either).select("row", "item_id").distinct()
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with item_ids, the sorted items that each holds (empty: clean)."""
-    hits = search(docs, benchmark, key).groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("_items"))
-    hits = maybe_broadcast(materialize(hits, "contaminated")).withColumnRenamed("row", "_row")
-    joined = docs.join(hits, F.xxhash64(F.col(key), F.coalesce("text", F.lit(""))) == F.col("_row"), "left")
-    return joined.withColumn("item_ids", F.coalesce("_items", F.array().cast(hits.schema["_items"].dataType))).drop("_row", "_items")
+def mark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", into: str = "item_ids") -> DataFrame:
+    """docs with a column of the sorted items that each holds (empty: clean). A column of that name is replaced."""
+    row, own = unused(docs, "decontamination_row"), unused(docs, "decontamination_items")
+    hits = search(docs, benchmark, key).groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias(own))
+    hits = maybe_broadcast(materialize(hits, "contaminated")).withColumnRenamed("row", row)
+    joined = docs.join(hits, F.xxhash64(F.col(key), F.coalesce("text", F.lit(""))) == F.col(row), "left")
+    return joined.withColumn(into, F.coalesce(own, F.array().cast(hits.schema[own].dataType))).drop(row, own)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import discard, materialize, maybe_broadcast, mix, slices, utf8
+from tidewell.llm.common import discard, materialize, maybe_broadcast, mix, slices, unused, utf8
 from tidewell.llm.components import components, merged
 from tidewell.llm.tokens import SPACE
 
@@ -360,10 +360,11 @@ def one_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     first = rows.groupBy("component").agg(F.min(F.struct(F.col(key).isNull(), F.col(key).alias("key"), "own")).alias("first"), F.sum("times").alias("n_rows")).where("n_rows > 1")
     stays = F.col(key).eqNullSafe(F.col("first.key")) & (F.col("own") == F.col("first.own"))
     # a row is known by key and text; only rows of groups of several are here
-    known = rows.join(first, "component").select(F.col(key).alias("_key"), F.col("own").alias("_own"), F.when(stays, F.col("times")).otherwise(F.lit(0)).alias("_times"))
+    k, own, times = (unused(docs, f"row_{c}") for c in ("key", "own", "times"))
+    known = rows.join(first, "component").select(F.col(key).alias(k), F.col("own").alias(own), F.when(stays, F.col("times")).otherwise(F.lit(0)).alias(times))
     known = maybe_broadcast(materialize(known, "known-rows"), LABELS)
-    own = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = docs.join(known, F.col(key).eqNullSafe(F.col("_key")) & (own == F.col("_own")), "left")
-    single = found.where("_times IS NULL OR _times = 1").select(docs.columns)
-    equal = found.where("_times > 1").groupBy("_key", "_own").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    discard(made, named, rows)
+    found = docs.join(known, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(own)), "left")
+    single = found.where(F.col(times).isNull() | (F.col(times) == 1)).select(docs.columns)
+    equal = found.where(F.col(times) > 1).groupBy(k, own).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return single.union(equal)

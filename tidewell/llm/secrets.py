@@ -18,7 +18,7 @@ from re import _parser as grammar
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import maybe_broadcast, materialize
+from tidewell.llm.common import materialize, maybe_broadcast, unused
 
 
 @dataclass(frozen=True)
@@ -46,6 +46,8 @@ MORE_RULES = [
 RULES = BASE_RULES + MORE_RULES
 #: Strings that a part of an expression may stand for are listed up to so many; beyond it that part asks for nothing.
 LISTED = 64
+#: Matches that a running total is carried over at a time.
+RUN = 256
 
 
 def _strings(parsed) -> tuple[list[set[str]], bool]:
@@ -126,29 +128,35 @@ def candidates(index: DataFrame, rules: list[Rule] = RULES, key: str = "doc_id")
     return flags.select(key, F.array_compact(F.array(*kinds)).alias("kinds")).where(F.size("kinds") > 0)
 
 
+def running(values: Column, step, zero: Column) -> Column:
+    """For each value the fold of those before it. Runs of values are folded first, so that no array grows by single values for long."""
+
+    def before(own: Column, first: Column, value) -> Column:
+        state = F.struct(first.alias("now"), F.array().cast("array<int>").alias("all"))
+        add = lambda s, x: F.struct(step(s["now"], value(x)).alias("now"), F.concat(s["all"], F.array(s["now"])).alias("all"))
+        return F.aggregate(own, state, add)["all"]
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / RUN).cast("int")), lambda i: F.slice(values, i * RUN + 1, F.lit(RUN)))
+    firsts = before(cut, zero, lambda own: F.aggregate(own, zero, step))
+    return F.flatten(F.zip_with(cut, firsts, lambda own, first: before(own, first, lambda x: x)))
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """start, rank, end of a rule's leftmost non-overlapping matches whose group is long enough."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    sized = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole, F.length)
-    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-    steps = F.arrays_zip(gaps.alias("gap"), F.transform(whole, F.length).alias("long"), sized.alias("sized"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int>>").alias("found"))
+    long = F.transform(whole, F.length)
+    sized = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else long
+    gaps = F.slice(F.transform(F.split(text, rule.pattern, -1), F.length), F.lit(1), F.size(whole))
+    before = running(F.zip_with(gaps, long, lambda g, n: g + n), lambda s, x: s + x, F.lit(0))
+    steps = F.arrays_zip(F.zip_with(before, gaps, lambda s, g: s + g).alias("start"), long.alias("long"), sized.alias("sized"))
+    return F.transform(F.filter(steps, lambda s: s["sized"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), (s["start"] + s["long"]).alias("end")))
 
-    def step(state: Column, s: Column) -> Column:
-        begin = state["at"] + s["gap"]
-        end = begin + F.coalesce(s["long"], F.lit(0))
-        own = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
-        good = F.coalesce(s["sized"], F.lit(0)) >= rule.least
-        return F.struct(end.alias("at"), F.when(good, F.concat(state["found"], F.array(own))).otherwise(state["found"]).alias("found"))
 
-    return F.aggregate(steps, start, step)["found"]
-
-
-def scan(docs: DataFrame, rules: list[Rule] = RULES, key: str = "doc_id") -> DataFrame:
-    """docs with ``found``: array of (start, rank, end) in order of start, then rank (the rule's place in rules)."""
+def scan(docs: DataFrame, rules: list[Rule] = RULES, key: str = "doc_id", into: str = "found") -> DataFrame:
+    """docs with a column of spans: array of (start, rank, end) in order of start, then rank (the rule's place in rules). A column of that name is replaced."""
     hits = materialize(candidates(postings(docs, rules, key), rules, key), "candidates")
-    k, kinds = "_candidate_key", "_candidate_kinds"
+    k, kinds = unused(docs, "candidate_key"), unused(docs, "candidate_kinds")
     joined = docs.join(maybe_broadcast(hits.select(F.col(key).alias(k), F.col("kinds").alias(kinds))), F.col(key).eqNullSafe(F.col(k)), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
@@ -159,7 +167,7 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, key: str = "doc_id") -> Dat
             rule = Rule(rule.kind, r"[0-9a-f]{%d,}" % rule.least, 0, rule.least, rule.base)
         could = F.coalesce(could, F.lit(False)) & F.regexp_like(text, F.lit(rule.pattern))
         each.append(F.when(could, _spans(text, rule, rank)).otherwise(none))
-    return joined.withColumn("found", F.array_sort(F.concat(*each))).drop(k, kinds)
+    return joined.withColumn(into, F.array_sort(F.concat(*each))).drop(k, kinds)
 
 
 def rendered(found: Column, rules: list[Rule] = RULES, base: bool = False) -> Column:
@@ -171,12 +179,8 @@ def rendered(found: Column, rules: list[Rule] = RULES, base: bool = False) -> Co
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     """text with every found span, overlapping ones as one, replaced by the mark."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        gap = F.when(x["start"] > s["at"], F.substring(text, s["at"] + 1, x["start"] - s["at"])).otherwise(F.lit(""))
-        new = F.when((x["start"] >= s["at"]), F.concat(s["out"], gap, F.lit(mark))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), new.alias("out"))
-
-    end = F.aggregate(found, state, step)
-    return F.when(F.size(found) == 0, text).otherwise(F.concat(end["out"], F.substring(text, end["at"] + 1, F.length(text))))
+    done = running(F.transform(found, lambda x: x["end"]), lambda s, x: F.greatest(s, x), F.lit(0))
+    own = F.filter(F.zip_with(found, done, lambda x, d: F.struct(x["start"].alias("start"), d.alias("done"))), lambda x: x["start"] >= x["done"])
+    kept = F.transform(own, lambda x: F.substring(text, x["done"] + 1, x["start"] - x["done"]))
+    end = F.array_max(F.transform(found, lambda x: x["end"]))
+    return F.when(F.size(found) == 0, text).otherwise(F.array_join(F.concat(kept, F.array(F.substring(text, end + 1, F.length(text)))), mark))
