@@ -1,19 +1,28 @@
 """Find near-duplicate vectors: codes by iterative quantisation, retrieval by multi-index Hamming tables, exact rerank.
 
-Rotations are learnt by iterative quantisation on a sample of at most ``SAMPLE`` distinct vectors (the lowest by hash): signs are taken, then the
-rotation that brings the vectors closest to their signs, and so on. Each rotation gives a balanced bit a dimension. A
-table keeps a substring of the bits; vectors that agree on any table's substring are candidates. The substring's width follows the
-number of vectors, so that tables stay sparse; the number of tables is what the sample needs, with neighbours made at the threshold itself,
-to miss no more than ``MISSED`` of them. Every vector is indexed. Candidates are reranked by the cosine of the original vectors in
-double precision, so no link is below the threshold.
-
-Equal vectors are one node with a count. Vectors that are null, zero, hold null or non-finite components, or have another dimension than
-most, link with nothing. Rows that repeat an id are vectors of their own; a null id never names a component unless all its ids are null.
+Rotations are learnt by iterative quantisation on a sample of at most ``SAMPLE`` distinct vectors (the lowest by hash): signs are taken, then
+the rotation that brings the vectors closest to their signs, and so on. A rotation gives a bit a dimension; several from
+different starts, with fewer and fewer rounds so that they differ, make a long code. The vectors are centred at the sample's mean, so that bits are
+balanced, unless that tears neighbours so far apart (in one tight cluster, say) that the index would cost more than one without.
+
+The code is cut into disjoint blocks, each a Hamming table. Every vector is filed in each table under its block, and asks there for all
+values within ``PROBED`` bits of its own. So every pair of which some block differs in no more bits than that is a candidate: all
+pairs whose codes are within blocks * (PROBED + 1) - 1 bits are, and others as it happens. The width of a block follows the number of
+vectors, so that tables stay sparse; the number of blocks is what the sample needs, with neighbours made at the threshold itself, to miss
+no more than ``MISSED`` of them. Candidates are reranked by the cosine of the original vectors in double precision, so no link is below
+the threshold.
+
+Vectors of different lengths are never compared; each length has an index of its own, for which a sample of its own is
+taken, so the driver holds SAMPLE vectors for each length.
+
+Equal vectors are one node with a count. Vectors that are null, zero, or hold null or non-finite components link with nothing.
+Rows that repeat an id are vectors of their own; a null id never names a component unless all its ids are null.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import materialize, mix
+from tidewell.llm.common import discard, materialize, mix
 from tidewell.llm.components import components
 
 COSINE = 0.9
 SAMPLE = 4_000
 MISSED = 0.01
-ROTATIONS, ROUNDS, LEAST_WIDTH = 4, 30, 12
+ROUNDS, LEAST_WIDTH, PROBED = 30, 12, 1
+#: Blocks beyond which centring is given up.
+MOST = 128
 SEED = 20240229
 
 
@@ -42,33 +53,55 @@ def rotation(x: np.ndarray, rng: np.random.Generator, rounds: int = ROUNDS) -> n
 
 
 class Index:
-    """Rotations, and the bits that each table reads."""
+    """The centre and rotations of a code, and the width and number of its blocks."""
 
-    def __init__(self, sample: np.ndarray, vectors: int, cosine: float = COSINE, missed: float = MISSED):
+    def __init__(self, sample: np.ndarray, vectors: int, cosine: float = COSINE, missed: float = MISSED, centred: bool = True):
         rng, d = np.random.default_rng(SEED), sample.shape[1]
-        self.rotations = np.hstack([rotation(sample, rng) for _ in range(ROTATIONS)])
-        bits = self.rotations.shape[1]
-        self.width = min(bits, max(LEAST_WIDTH, math.ceil(math.log2(max(2, vectors)))))
-        # neighbours at the threshold: what share of bits differs, vector by vector
+        self.centre = sample.mean(axis=0) if centred else np.zeros(d)
+        self.width = max(LEAST_WIDTH, math.ceil(math.log2(max(2, vectors))))
+        # neighbours at the threshold: which of their bits differ, vector by vector
         other = rng.normal(size=sample.shape)
         other -= (other * sample).sum(1, keepdims=True) * sample
         other /= np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-12)
-        same = (self.bits(sample) == self.bits(cosine * sample + math.sqrt(1 - cosine * cosine) * other)).mean(1)
-        one, tables = same**self.width, 1
-        while ((1 - one) ** tables).mean() > missed and d > 1:
-            tables += max(1, tables // 16)
-        self.tables = np.array([rng.permutation(bits)[: self.width] for _ in range(tables)])
+        other = cosine * sample + math.sqrt(1 - cosine * cosine) * other - self.centre
+        own = sample - self.centre
+        rotations, lost, differ = [], np.ones(len(sample)), np.zeros((len(sample), 0), bool)
+        self.blocks = 0
+        while self.blocks == 0 or (lost.mean() > missed and d > 1 and not (centred and self.blocks >= MOST)):
+            while differ.shape[1] < self.width:
+                r = rotation(own, rng, ROUNDS // (1 + len(rotations)))
+                rotations.append(r)
+                differ = np.hstack([differ, (own @ r >= 0) != (other @ r >= 0)])
+            lost = lost * (differ[:, : self.width].sum(axis=1) > PROBED)
+            differ, self.blocks = differ[:, self.width :], self.blocks + 1
+        self.rotations = np.hstack(rotations)
+        self.weights = mix(np.arange(1, self.width + 1, dtype=np.uint64)) | np.uint64(1)
+        # how often strangers meet, block by block: what the index costs
+        bits = self.bits(sample[:400])
+        met = sum(((bits[:, None, i] != bits[None, :, i]).sum(axis=2) <= PROBED).mean() for i in range(self.blocks))
+        self.cost = float("inf") if lost.mean() > missed and d > 1 else met
+
+    @staticmethod
+    def best(sample: np.ndarray, vectors: int, cosine: float = COSINE, missed: float = MISSED) -> "Index":
+        return min((Index(sample, vectors, cosine, missed, centred) for centred in (True, False)), key=lambda x: x.cost)
 
     def bits(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.rotations >= 0
-
-    def buckets(self, x: np.ndarray) -> np.ndarray:
-        """A hash for each vector and table."""
-        packed, words = self.bits(x), []
-        weights = mix(np.arange(1, self.width + 1, dtype=np.uint64)) | np.uint64(1)
-        for i, own in enumerate(self.tables):
-            words.append(mix((packed[:, own] * weights).sum(axis=1, dtype=np.uint64) + mix(np.array([1000 + i]))))
-        return np.stack(words, axis=1).view(np.int64)
+        """Vectors, blocks, bits of a block."""
+        own = (x - self.centre) @ self.rotations[:, : self.blocks * self.width] >= 0
+        return own.reshape(len(x), self.blocks, self.width)
+
+    def files(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the values that each vector has in each block, and of those that it asks for: its own and all within PROBED bits."""
+        bits = self.bits(x)
+        block = mix(np.arange(1000, 1000 + self.blocks) + (x.shape[1] << 20))
+        value = (bits * self.weights).sum(axis=2, dtype=np.uint64)
+        change = np.where(bits, np.uint64(0) - self.weights, self.weights)  # what a flipped bit adds to the value
+        asked = [value[:, :, None]]
+        for n in range(1, PROBED + 1):
+            for flipped in combinations(range(self.width), n):
+                asked.append(value[:, :, None] + change[:, :, list(flipped)].sum(axis=2, keepdims=True, dtype=np.uint64))
+        asked = np.concatenate(asked, axis=2)
+        return mix(value + block).view(np.int64), mix(asked + block[:, None]).reshape(len(x), -1).view(np.int64)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -103,36 +136,43 @@ def matrix(column) -> np.ndarray:
 def near(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", cosine: float = COSINE, missed: float = MISSED) -> DataFrame:
     """key, n_links, component_id, kept of each row."""
     spark = vectors.sparkSession
-    read = materialize(nodes(vectors, key, column), "vectors")
-    usual = read.where("node IS NOT NULL").groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
-    size = usual["size"] if usual else 0
-    own = read.withColumn("node", F.when(F.col("size") == size, F.col("node")))
-    each = materialize(own.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("label"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")), "nodes")
-    number = each.count()
-    links = spark.createDataFrame([], "a long, b long")
-    if number > 1:
-        sample = each.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").toArrow()
-        index = spark.sparkContext.broadcast(Index(unit(matrix(sample.column(0))), number, cosine, missed))
-
-        def bucketed(batches):
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
-                    part = batch.slice(lo, 512)
-                    found = index.value.buckets(unit(matrix(part.column("vector"))))
-                    yield pa.RecordBatch.from_pydict({"node": pa.array(np.repeat(part.column("node").to_numpy(), found.shape[1])), "bucket": pa.array(found.reshape(-1))})
-
-        def similar(batches):
+    own = materialize(nodes(vectors, key, column), "vectors")
+    each = materialize(own.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("label"), F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")), "nodes")
+    indexes = {}
+    for r in each.groupBy("size").count().where("count > 1").collect():  # lengths of vectors: few
+        sample = each.where(F.col("size") == r["size"]).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").toArrow()
+        indexes[r["size"]] = Index.best(unit(matrix(sample.column(0))), r["count"], cosine, missed)
+    shared_indexes = spark.sparkContext.broadcast(indexes)
+
+    def filed(ask: bool):
+        def rows(batches):
             for batch in batches:
-                keep = (unit(matrix(batch.column("x"))) * unit(matrix(batch.column("y")))).sum(axis=1) >= cosine if batch.num_rows else np.zeros(0, bool)
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        tables = materialize(each.select("node", "vector").mapInArrow(bucketed, "node long, bucket long"), "tables")
-        shared = tables.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-        kept = materialize(tables.join(shared, "bucket"), "shared")
-        pairs = kept.select("bucket", F.col("node").alias("a")).join(kept.select("bucket", F.col("node").alias("b")), "bucket").where("a < b").select("a", "b").distinct()
-        both = pairs.join(each.select(F.col("node").alias("a"), F.col("vector").alias("x")), "a").join(each.select(F.col("node").alias("b"), F.col("vector").alias("y")), "b")
-        links = both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
-    links = materialize(links, "links")
+                sizes = batch.column("size").to_numpy()
+                for size in np.unique(sizes).tolist():
+                    if size in shared_indexes.value:
+                        part = batch.filter(pa.array(sizes == size))
+                        for lo in range(0, part.num_rows, 256):
+                            some = part.slice(lo, 256)
+                            found = shared_indexes.value[size].files(unit(matrix(some.column("vector"))))[ask]
+                            yield pa.RecordBatch.from_pydict({"node": pa.array(np.repeat(some.column("node").to_numpy(), found.shape[1])), "bucket": pa.array(found.reshape(-1))})
+
+        return each.select("node", "size", "vector").mapInArrow(rows, "node long, bucket long")
+
+    def similar(batches):
+        for batch in batches:
+            sizes = batch.column("m").to_numpy()
+            for size in np.unique(sizes).tolist():
+                part = batch.filter(pa.array(sizes == size))
+                keep = (unit(matrix(part.column("x"))) * unit(matrix(part.column("y")))).sum(axis=1) >= cosine
+                yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    tables = materialize(filed(False), "tables")
+    pairs = filed(True).select(F.col("node").alias("a"), "bucket").join(tables.select(F.col("node").alias("b"), "bucket"), "bucket").where("a < b").select("a", "b").distinct()
+    pairs = materialize(pairs, "pairs")
+    size = each.select("node", "size", "vector")
+    both = pairs.join(size.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("vector").alias("x")), "a").join(size.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("vector").alias("y")), "b")
+    links = materialize(both.where("m = n").select("a", "b", "m", "x", "y").mapInArrow(similar, "a long, b long"), "links")
+    discard(tables, pairs)
     copies = each.select("node", "label", "copies")
     ways = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counted = ways.join(copies.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))

@@ -11,8 +11,8 @@
 4. The wrapper is the host's set of constant (slot, hash) pairs, at most 1 / SHARE for each block of a page.
 
 Elements that are boilerplate by their meaning (menus, headers, footers, sidebars, notices, adverts, forms,
-comments, scripts) never are content, however they vary; if a page marks its article, only that is.
-Pages of a host that has too few pages for a wrapper are read by meaning alone.
+comments, scripts) never are content, however they vary. Pages of a host that has too few pages for a wrapper are read by meaning
+alone: only there, if a page marks its article, nothing else of it is content.
 
 Null html counts as empty; an empty or markup-only page has empty text. Repeated rows are pages of their own. A null or
 unparsable url has no host and so no wrapper.
@@ -136,8 +136,8 @@ def parse(html: str) -> Node:
     return builder.root
 
 
-def text_blocks(root: Node) -> list[tuple[str, Node, tuple]]:
-    """(text, node, path) of the blocks that may be content, in page order: an article's, if one is marked. path: tags, each with its number among its parent's runs of that tag."""
+def text_blocks(root: Node) -> list[tuple[str, Node, tuple, bool]]:
+    """(text, node, path, inside) of the blocks that may be content, in page order. path: tags, each with its number among its parent's runs of that tag. inside: in a marked article."""
     found: list[tuple[str, Node, tuple, bool]] = []
     stack: list = [("open", root, (), False)]
     while stack:
@@ -168,9 +168,7 @@ def text_blocks(root: Node) -> list[tuple[str, Node, tuple]]:
                 todo.append(("open", child, (*path, f"{last}.{runs[last] - 1}"), inside))
         end()
         stack.extend(reversed(todo))
-    if any(inside for *_, inside in found):
-        found = [x for x in found if x[3]]
-    return [(t, n, p) for t, n, p, _ in found]
+    return found
 
 
 def runs(node: Node) -> list[tuple[str, list[Node]]]:
@@ -230,12 +228,12 @@ def match(a: Shape, b: Shape, pairs: dict[str, str]) -> int:
     return 1 + int(best[m, n])
 
 
-def aligned(root: Node, pivot: Shape | None) -> list[tuple[str, str | None, str]]:
-    """Text blocks of a page with the pivot's slot that each aligns with, if any, and the chain of its tags."""
+def aligned(root: Node, pivot: Shape | None) -> list[tuple[str, str | None, str, bool]]:
+    """Text blocks of a page with the pivot's slot that each aligns with, if any, the chain of its tags, and whether an article holds it."""
     pairs: dict[str, str] = {}
     if pivot is not None:
         match(Shape("html", [root]), pivot, pairs)
-    return [(t, pairs.get("".join(f"/{x}" for x in path[:-1])), "#" + "/".join(x.partition(".")[0] for x in path[:-1])) for t, _, path in text_blocks(root)]
+    return [(t, pairs.get("".join(f"/{x}" for x in path[:-1])), "#" + "/".join(x.partition(".")[0] for x in path[:-1]), inside) for t, _, path, inside in text_blocks(root)]
 
 
 def dump(shape: Shape) -> list:
@@ -295,16 +293,16 @@ class Shapes:
 
 
 def blocks(pages: DataFrame, chosen: DataFrame) -> DataFrame:
-    """page_id, url, host, page (a hash of the html) and blocks: the text blocks with the hashes of slot and text, null outside the pivot's slots, and of chain and text."""
+    """page_id, url, host, page (a hash of the html) and blocks: the text blocks with the hashes of slot and text, null outside the pivot's slots, and of chain and text, and whether an article holds them."""
     fields = [pages.schema["page_id"], pages.schema["url"], T.StructField("host", T.LongType()), T.StructField("page", T.LongType())]
-    schema = T.StructType([*fields, T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("block", T.LongType()), T.StructField("chain", T.LongType()), T.StructField("text", T.StringType())])))])
+    schema = T.StructType([*fields, T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("block", T.LongType()), T.StructField("chain", T.LongType()), T.StructField("text", T.StringType()), T.StructField("inside", T.BooleanType())])))])
 
     def rows(batches):
         shapes = Shapes()
         for batch in batches:
-            out = [[(None if slot is None else block_hash(slot, t), block_hash(chain, t), t) for t, slot, chain in aligned(parse(html), shapes.of(shape))] for html, shape in zip(batch.column("html").to_pylist(), batch.column("shape").to_pylist(), strict=True)]
+            out = [[(None if slot is None else block_hash(slot, t), block_hash(chain, t), t, i) for t, slot, chain, i in aligned(parse(html), shapes.of(shape))] for html, shape in zip(batch.column("html").to_pylist(), batch.column("shape").to_pylist(), strict=True)]
             at = np.cumsum([0, *map(len, out)])
-            inner = pa.StructArray.from_arrays([pa.array([b for x in out for b, _, _ in x], pa.int64()), pa.array([c for x in out for _, c, _ in x], pa.int64()), pa.array([t for x in out for _, _, t in x], pa.string())], ["block", "chain", "text"])
+            inner = pa.StructArray.from_arrays([pa.array([b[i] for x in out for b in x], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.bool_()))], ["block", "chain", "text", "inside"])
             yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("page_id", "url", "host", "page")} | {"blocks": pa.ListArray.from_arrays(pa.array(at, pa.int32()), inner)})
 
     joined = pages.join(maybe_broadcast(chosen), "host", "left")
@@ -325,7 +323,9 @@ def extract(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataF
     counted = seen.groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"), F.max("lacks").alias("lacks")).where((F.col("n") >= least) & F.col("lacks"))
     number = read.where("host IS NOT NULL").select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     template = counted.join(number, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("block").alias("template"))
-    wrappers = materialize(template, "wrappers")  # hosts without a constant have no row
-    content = F.filter("blocks", lambda b: ~(F.coalesce(F.array_contains("template", b["block"]), F.lit(False)) | F.coalesce(F.array_contains("template", b["chain"]), F.lit(False))))
+    wrappers = number.where(F.col("pages") >= least).join(template, "host", "left").select("host", F.coalesce("template", F.array().cast("array<long>")).alias("template"))
+    wrappers = materialize(wrappers, "wrappers")
+    alone = F.col("template").isNull() & F.exists("blocks", lambda b: b["inside"])
+    content = F.filter("blocks", lambda b: ~(alone & ~b["inside"]) & ~(F.coalesce(F.array_contains("template", b["block"]), F.lit(False)) | F.coalesce(F.array_contains("template", b["chain"]), F.lit(False))))
     text = F.array_join(F.transform(content, lambda b: b["text"]), "\n")
     return read.join(maybe_broadcast(wrappers), "host", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
