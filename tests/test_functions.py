@@ -116,3 +116,8 @@ def test_markup(spark):
 def test_vectors(spark):
     v = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "x array<double>, y array<double>").select(unit(F.col("x")), unit(F.col("y")), dot(F.col("x"), F.col("x"))).first()
     assert v[0] == pytest.approx([0.6, 0.8]) and v[1] == [0.0, 0.0] and v[2] == 25.0
+
+
+def test_captions_and_skipped_sections(spark):
+    page = "<h2>One</h2><p>Promotional image</p><p>The hero holding a roller</p><p>Prose that another line begins.</p><h2>Weapon freshness rewards</h2><p>no</p><h2>Super Smash Bros. Ultimate</h2><p>no</p><h2>Two</h2><li>2D icon</li>"
+    assert [tuple(s) for s in value(spark, markup.sections(F.col("s")), s=page)] == [("One", "Prose that another line begins.")]

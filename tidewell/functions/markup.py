@@ -9,7 +9,39 @@ from tidewell.functions.text import strip
 
 # Labels that mark a table of figures, and headings that are no prose.
 STAT_LABELS = ("category", "class", "sub", "special", "range", "damage", "fire rate", "charge speed", "mobility", "level")
-SKIPPED = ("contents", "gallery", "demonstration", "references", "external links", "notes", "data", "version history", "quotes", "badges", "competitive", "translation notes")
+SKIPPED = ("contents", "gallery", "demonstration", "references", "external links", "notes", "data", "version history", "quotes", "badges", "super smash bros. ultimate", "weapon freshness rewards", "competitive", "translation notes")
+# What lines begin with that are captions of pictures.
+CAPTIONS = (
+    r"^promotional image$",
+    r"^2d icon$",
+    r"^3d art(work)?",
+    r"^splatnet icon$",
+    r"^concept art",
+    r"^titlecard",
+    r"^weapon icon",
+    r"^model of",
+    r"^holding (the )?",
+    r"^throwing ",
+    r"^artwork of ",
+    r"^another ",
+    r"^three ",
+    r"^the .* holding",
+    r"^the .* used by",
+    r"^held by ",
+    r"^inkling (boy|girl) ",
+    r"^a (team|rabbit|line) ",
+    r"^two inklings",
+    r"^sunken scroll",
+    r"^the (same )?3d art",
+    r"^the splattershot (on|being|as)",
+    r"^the tableturf battle card",
+    r"^a splattershot mem cake",
+    r"^the (closest|center|second|third)",
+    r"^the info page",
+    r"^the \S+ on the",
+    r"^\( link to file \)$",
+    r"^link to file$",
+)
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&#91;", "["), ("&#93;", "]"), ("&amp;", "&"))
 
 
@@ -58,7 +90,7 @@ def items(html: Column) -> Column:
     return F.filter(F.transform(F.concat(inner(html, "p"), inner(html, "li")), lambda x: uncited(stripped(x))), lambda t: t != "")
 
 
-def sections(html: Column, games: tuple[str, ...] = (), captions: str = "") -> Column:
+def sections(html: Column, games: tuple[str, ...] = (), captions: str = "(?i)" + "|".join(CAPTIONS)) -> Column:
     """Array of structs (heading, content) of the prose sections. games: headings that are parsed as tables; captions: a pattern of lines to drop."""
     parts = F.filter(F.split(html, r"(?=<h2[^>]*>)"), lambda p: F.startswith(p, F.lit("<h2")) & F.contains(p, F.lit("</h2>")))
     cut = F.transform(parts, lambda p: F.struct(stripped(F.regexp_extract(p, r"(?s)^<h2[^>]*>\s*(.*?)\s*</h2>", 1)).alias("heading"), items(F.regexp_replace(p, r"(?s)^<h2[^>]*>.*?</h2>", "")).alias("lines")))

@@ -42,14 +42,8 @@ def neutralized(text: Column) -> Column:
 
 def redacted(text: Column) -> Column:
     """struct(text, count): each kind in turn on what the one before left."""
-    state = F.struct(text.alias("text"), F.lit(0).alias("count"))
-    kinds = F.array(*[F.lit(i) for i in range(len(PERSONAL))])
-
-    def step(s: Column, i: Column) -> Column:
-        new, n = s["text"], F.lit(0)
-        for k, (mark, pattern) in enumerate(PERSONAL):
-            new = F.when(i == k, F.regexp_replace(s["text"], pattern, mark)).otherwise(new)
-            n = F.when(i == k, F.regexp_count(s["text"], F.lit(pattern))).otherwise(n)
-        return F.struct(new.alias("text"), (s["count"] + n).alias("count"))
-
-    return F.aggregate(kinds, state, step)
+    count = F.lit(0)
+    for mark, pattern in PERSONAL:
+        count = count + F.regexp_count(text, F.lit(pattern))
+        text = F.regexp_replace(text, pattern, mark)
+    return F.struct(text.alias("text"), count.alias("count"))

@@ -1,7 +1,8 @@
 """Sparse, hybrid and exhaustive search of chunks for a batch of questions, and what is made of the hits.
 
 Scores are rounded to six places before anything is ranked, so that ties do not depend on the order of summation;
-ties go to the chunk that comes first. Every ranking keeps only k rows a question in each task before it shuffles.
+ties go to the chunk that comes first. A filter on the rank follows every ranking directly, so Spark keeps k rows a group in each task before it
+shuffles. What is read more than once (postings of a batch's terms, scores) is written first.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
 from tidewell.operators.index import ID, idf, vectors
+from tidewell.session import settled
 
 #: Terms of a batch of questions that may be broadcast; a larger batch is joined by shuffle.
 BATCH_TERMS = 1_000_000
@@ -34,7 +36,7 @@ def scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     tokens = questions.select(F.explode(X.tokens(F.col("question"))).alias("term"))
     few = tokens.limit(BATCH_TERMS + 1).count() <= BATCH_TERMS  # it bounds both sides below
     near = F.broadcast if few else lambda df: df
-    met = vectors(chunks, near(tokens.distinct()))
+    met = settled(vectors(chunks, near(tokens.distinct())))
     met = met.join(near(query_vectors(questions, idf(met, chunks))), "term")
     return met.groupBy("qid", *ID).agg(F.round(F.sum(F.col("tf") * F.col("idf") * F.col("weight")), PLACES).alias("score"))
 
@@ -55,8 +57,9 @@ def top_k(scored: DataFrame, chunks: DataFrame, questions: DataFrame, k: int) ->
 
 def exhaustive(scored: DataFrame, most: int = 200, share: float = 0.1) -> DataFrame:
     """All positive hits of at least a share of the question's best score, up to most."""
-    top = scored.where("score > 0").groupBy("qid").agg(F.max("score").alias("top"))
-    return best(scored.join(top, "qid").where((F.col("score") > 0) & (F.col("score") >= share * F.col("top"))), most).drop("top")
+    scored = settled(scored.where("score > 0"))
+    top = scored.groupBy("qid").agg(F.max("score").alias("top"))
+    return best(scored.join(top, "qid").where(F.col("score") >= share * F.col("top")), most).drop("top")
 
 
 def of_sources(scored: DataFrame, chunks: DataFrame, sources: list[str] | None) -> DataFrame:
@@ -70,7 +73,7 @@ def fused(sparse: DataFrame, dense: DataFrame, weight: float, on: list[str]) ->
     """Both scores divided by their largest over all rows of the question, and mixed. Rows that one side lacks count zero there."""
     tops = lambda df: df.groupBy("qid").agg(F.max("score").alias("top"))
     scaled = lambda df, name: df.join(tops(df), "qid").select("qid", *on, F.when(F.col("top") == 0, 0.0).otherwise(F.col("score") / F.col("top")).alias(name))
-    both = scaled(sparse, "s").join(scaled(dense, "d"), ["qid", *on], "full")
+    both = scaled(settled(sparse), "s").join(scaled(settled(dense), "d"), ["qid", *on], "full")
     mixed = F.coalesce("s", F.lit(0.0)) * (1 - weight) + F.coalesce("d", F.lit(0.0)) * weight
     return both.select("qid", *on, F.round(mixed, PLACES).alias("score"))
 
@@ -78,16 +81,18 @@ def fused(sparse: DataFrame, dense: DataFrame, weight: float, on: list[str]) ->
 def diversified(scored: DataFrame, k: int, per_source: int = 2, ties: list[str] = ID, same: str = "text") -> DataFrame:
     """First the best of each source, then up to per_source of each, then the rest. Rows: qid, source, score, text (or a hash of it: same) and the ties.
 
-    Rows of equal text and score are taken once until the last round, in which only rows not taken come.
+    Rows of equal text and score are taken once. A result takes no more than k rows from a source, so only so many of each are ranked together.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    equal = Window.partitionBy("qid", same, "score").orderBy(*ties)
-    own = Window.partitionBy("qid", "source").orderBy(F.col("again"), F.desc("score"), *ties)
-    each = scored.withColumn("again", (F.row_number().over(equal) > 1).cast("int")).withColumn("nth", F.row_number().over(own))
-    rounds = F.when(F.col("again") == 1, 3).when(F.col("nth") == 1, 1).when(F.col("nth") <= per_source, 2).otherwise(3)
+    rest = [c for c in scored.columns if c not in ("qid", same, "score", *ties)]
+    first = scored.groupBy("qid", same, "score").agg(F.min(F.struct(*ties, F.struct(*rest).alias("_rest"))).alias("_first"))
+    first = first.select("qid", *[f"_first.{t}" for t in ties], "score", same, "_first._rest.*").select(*scored.columns)
+    own = Window.partitionBy("qid", "source").orderBy(F.desc("score"), *ties)
+    each = first.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= k)
+    rounds = F.when(F.col("nth") == 1, 1).when(F.col("nth") <= per_source, 2).otherwise(3)
     w = Window.partitionBy("qid").orderBy("round", F.desc("score"), *ties)
-    return each.withColumn("round", rounds).where(F.col("again") == 0).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("again", "nth")
+    return each.withColumn("round", rounds).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("nth")
 
 
 def context(ranked: DataFrame) -> DataFrame:

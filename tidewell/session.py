@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -20,14 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df):
-    """df computed once and cut from its lineage, in the folder that the cluster names for checkpoints."""
-    import tempfile
+_LOCAL: dict[str, str] = {}  # the temporary folder of each local session that names none
 
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local"):
+
+def settled(df):
+    """df computed once and read back from a table in the folder that the cluster names for checkpoints, which cuts its lineage."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewell-"))
-    return df.checkpoint()
+        named = _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tidewell-"))
+    path = f"{named.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
