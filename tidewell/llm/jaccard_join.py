@@ -46,7 +46,7 @@ ROUNDS, HUBS = 2, 8
 #: One of so many nodes is looked at for frequent tokens; so many of them must have a token; so many tokens are put last at most.
 SAMPLED, FREQUENT, LAST = 16, 4, 500_000
 ORDERS = 2
-SLICE = 2 << 20
+SLICE = 512 << 10
 #: What a task gathers before it hands rows on, in bytes.
 HELD = 4 << 20
 LABELS = 400_000

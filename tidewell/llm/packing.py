@@ -118,6 +118,7 @@ def cut(docs: DataFrame, path: str, max_len: int, end_id: int, key: str, with_id
                             rows["ids"].append(bytes(piece))
                 columns = {key: keys.take(pa.array(rows["row"], pa.int64()))} | {k: pa.array(rows[k], pa.int64()) for k in ("start", "length", "ids_crc32", "doc_tokens")}
                 yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(rows["ids"], pa.binary())} if with_ids else {}))
+        coder.forget()
 
     return docs.select(key, "text").mapInArrow(pieces, piece_schema(docs, key, with_ids))
 

@@ -136,6 +136,7 @@ def write(docs: DataFrame, to: str, path: str | None = None, end_id: int = END_I
                         yield flush()
         if keys:
             yield flush()
+        coder.forget()
 
     ordered = docs.select(F.col(key).cast("long").alias(key), "text").repartitionByRange(key).sortWithinPartitions(key, "text")
     ordered.mapInArrow(blocks, schema).write.option("compression", "zstd").parquet(to)

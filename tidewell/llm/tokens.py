@@ -2,8 +2,8 @@
 
 Both pre-tokenizers used here split a text where a run of white space begins, after a lone line
 feed, and between a letter and one of ``. , ; : ! ?``. Text between two such places has the same
-ids wherever it stands, so every distinct unit is encoded once per worker and its ids are gathered
-for all its occurrences. Texts with rarer white space, or with the content of a token that was added to the vocabulary
+ids wherever it stands, so every distinct unit is encoded once per task and its ids are gathered
+for all its occurrences; the memory of units goes with the task, the vocabulary stays with the worker. Texts with rarer white space, or with the content of a token that was added to the vocabulary
 (``<|endoftext|>``, which the library takes out of a text before it splits it), are encoded whole.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 
 from tidewell.llm.common import slices, utf8
 
-#: Distinct units that a worker remembers before it starts afresh: bounds its memory, changes no result.
+#: Distinct units that a task remembers before it starts afresh: bounds its memory, changes no result.
 REMEMBERED = 500_000
 SLICE_BYTES = 4 << 20
 #: White space outside ASCII, as UTF-8.
@@ -64,6 +64,10 @@ class Encoder:
         self.odd = re.compile(b"|".join([RARE_SPACE, *(re.escape(t.content.encode()) for t in added)]))
         self.known: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """At a task's end: the worker also serves steps that need no tokens."""
+        self.known.clear()
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 

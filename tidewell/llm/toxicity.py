@@ -51,7 +51,7 @@ RULES = ("plain", "targeted", "negated", "reported", "threat")
 PRIOR = np.array([-3.0, 1.2, 1.5, 0.6, 0.6, 1.5])  # the intercept, then the rules
 BUILT_IN = 4.0  # the weight of a built-in term that labels say nothing about
 REACH = 3  # words over which a negation, target or intent is carried
-SLICE_BYTES = 2 << 20  # of texts that a worker scores at a time
+SLICE_BYTES = 1 << 20  # of texts that a worker scores at a time
 REMEMBERED = 200_000  # words that a worker knows the class of: bounds its memory
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
