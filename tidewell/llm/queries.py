@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import decontamination, embedding_dedup, html_extract, jaccard_join, packing, secrets, sharding, token_counts, token_output, toxicity
 from tidewell.llm.common import table
+from tidewell.llm.sql import SQL
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +68,3 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_packing, op4_html_extraction, op5_jaccard_join, op6_token_output, op7_decontamination, op8_secret_scans, op9_token_counts, op10_embedding_dedup)}
-SQL: dict[str, str] = {}
