@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -101,6 +103,20 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), off
 
 
+def tidied(rows: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """rows, for mapInArrow; what it freed goes back to the system at the task's end, for the worker process stays and the next step's may be another."""
+
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+                trim(0)
+
+    return run
+
+
 def slices(offsets: np.ndarray, most: int):
     """Row ranges of about so many bytes; a longer row makes a range of its own."""
     lo, n = 0, len(offsets) - 1

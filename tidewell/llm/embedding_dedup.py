@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import discard, materialize, mix
+from tidewell.llm.common import discard, materialize, mix, tidied
 from tidewell.llm.components import components
 
 COSINE = 0.9
@@ -126,7 +126,7 @@ def nodes(vectors: DataFrame, key: str, column: str) -> DataFrame:
                 raw.append(own)
             yield pa.RecordBatch.from_pydict({key: batch.column(0), "node": pa.array(node, pa.int64()), "size": pa.array(size, pa.int32()), "vector": pa.array(raw, pa.binary())})
 
-    return vectors.select(key, column).mapInArrow(rows, schema)
+    return vectors.select(key, column).mapInArrow(tidied(rows), schema)
 
 
 def matrix(column) -> np.ndarray:
@@ -156,7 +156,7 @@ def near(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", cos
                             found = shared_indexes.value[size].files(unit(matrix(some.column("vector"))))[ask]
                             yield pa.RecordBatch.from_pydict({"node": pa.array(np.repeat(some.column("node").to_numpy(), found.shape[1])), "bucket": pa.array(found.reshape(-1))})
 
-        return each.select("node", "size", "vector").mapInArrow(rows, "node long, bucket long")
+        return each.select("node", "size", "vector").mapInArrow(tidied(rows), "node long, bucket long")
 
     def similar(batches):
         for batch in batches:
@@ -171,7 +171,7 @@ def near(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", cos
     pairs = materialize(pairs, "pairs")
     size = each.select("node", "size", "vector")
     both = pairs.join(size.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("vector").alias("x")), "a").join(size.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("vector").alias("y")), "b")
-    links = materialize(both.where("m = n").select("a", "b", "m", "x", "y").mapInArrow(similar, "a long, b long"), "links")
+    links = materialize(both.where("m = n").select("a", "b", "m", "x", "y").mapInArrow(tidied(similar), "a long, b long"), "links")
     discard(tables, pairs)
     copies = each.select("node", "label", "copies")
     ways = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import maybe_broadcast, materialize
+from tidewell.llm.common import materialize, maybe_broadcast, tidied
 
 #: A text is template if this share of the host's distinct pages, and so many of them, have it in one slot.
 SHARE, LEAST = 0.6, 5
@@ -272,7 +272,7 @@ def pivots(pages: DataFrame, least: int) -> DataFrame:
             trees = [json.dumps(dump(Shape("html", [r]))) if text_blocks(r) else None for r in roots]
             yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "place": batch.column("place"), "shape": pa.array(trees, pa.string())})
 
-    found = chosen.mapInArrow(shapes, "host long, place long, shape string").where("shape IS NOT NULL")
+    found = chosen.mapInArrow(tidied(shapes), "host long, place long, shape string").where("shape IS NOT NULL")
     return found.groupBy("host").agg(F.min(F.struct("place", "shape")).alias("first")).select("host", "first.shape")
 
 
@@ -306,7 +306,7 @@ def blocks(pages: DataFrame, chosen: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("page_id", "url", "host", "page")} | {"blocks": pa.ListArray.from_arrays(pa.array(at, pa.int32()), inner)})
 
     joined = pages.join(maybe_broadcast(chosen), "host", "left")
-    return joined.select("page_id", "url", "host", F.xxhash64("html").alias("page"), "html", "shape").mapInArrow(rows, schema)
+    return joined.select("page_id", "url", "host", F.xxhash64("html").alias("page"), "html", "shape").mapInArrow(tidied(rows), schema)
 
 
 def extract(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import discard, materialize, maybe_broadcast, mix, slices, unused, utf8
+from tidewell.llm.common import discard, materialize, maybe_broadcast, mix, slices, tidied, unused, utf8
 from tidewell.llm.components import components, merged
 from tidewell.llm.tokens import SPACE
 
@@ -142,7 +142,7 @@ def sets(docs: DataFrame, key: str) -> DataFrame:
             at = pa.array(np.arange(len(mins) + 1, dtype=np.int32) * MINS)
             yield pa.RecordBatch.from_pydict({key: batch.column(0), "own": batch.column(2), "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), "mins": pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int32), *mins]))), "bits": pa.array(bits, pa.binary())})
 
-    return docs.select(key, "text", text_hash()).mapInArrow(rows, schema)
+    return docs.select(key, "text", text_hash()).mapInArrow(tidied(rows), schema)
 
 
 def text_hash() -> Column:
@@ -183,7 +183,7 @@ def tokens(docs: DataFrame, key: str, order: int | None = None, last=None) -> Da
                 yield pa.RecordBatch.from_pydict({"node": pa.array(np.concatenate(node)), "token": pa.array(np.concatenate(token))})
 
     schema = T.StructType([T.StructField("node", T.LongType(), False), T.StructField("token", T.LongType(), False)])
-    return docs.select(key, "text").mapInArrow(rows, schema)
+    return docs.select(key, "text").mapInArrow(tidied(rows), schema)
 
 
 def frequent(docs: DataFrame, key: str):
@@ -237,7 +237,7 @@ def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             n, m = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
             yield batch.select(["a", "b"]).filter(pa.array(list(map(may_link, x, y, n, m)), pa.bool_()))
 
-    found = materialize(both.mapInArrow(rows, "a long, b long"), "close")
+    found = materialize(both.mapInArrow(tidied(rows), "a long, b long"), "close")
     discard(asked)
     return found
 
@@ -261,7 +261,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str) -> D
                     found, held = {}, 0
             yield pa.RecordBatch.from_pydict({"node": pa.array(list(found), pa.int64()), "own": pa.array(list(found.values()), pa.binary())})
 
-    stored = only(docs, labels, key).mapInArrow(whole, "node long, own binary").join(maybe_broadcast(labels.select("node"), LABELS), "node", "left_semi")
+    stored = only(docs, labels, key).mapInArrow(tidied(whole), "node long, own binary").join(maybe_broadcast(labels.select("node"), LABELS), "node", "left_semi")
     written = materialize(stored, "sets")
     stored = written.dropDuplicates(["node"])  # the same shuffle brings a pair's first set to it
     both = pairs.select("a", "b").join(stored.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(stored.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
@@ -275,7 +275,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str) -> D
                 keep.append(100 * same >= PERCENT * (len(x) + len(y) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = materialize(both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long").distinct(), "verified")
+    found = materialize(both.select("a", "b", "x", "y").mapInArrow(tidied(similar), "a long, b long").distinct(), "verified")
     discard(pairs, labels, written)
     return found
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import materialize
+from tidewell.llm.common import materialize, tidied
 from tidewell.llm.tokens import encoder, tokenizer_path
 
 MAX_LEN = 1024
@@ -120,7 +120,7 @@ def cut(docs: DataFrame, path: str, max_len: int, end_id: int, key: str, with_id
                 yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(rows["ids"], pa.binary())} if with_ids else {}))
         coder.forget()
 
-    return docs.select(key, "text").mapInArrow(pieces, piece_schema(docs, key, with_ids))
+    return docs.select(key, "text").mapInArrow(tidied(pieces), piece_schema(docs, key, with_ids))
 
 
 def place(pieces: DataFrame, max_len: int = MAX_LEN, key: str = "doc_id") -> DataFrame:

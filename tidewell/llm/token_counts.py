@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidewell.llm.common import slices, utf8
+from tidewell.llm.common import slices, tidied, utf8
 from tidewell.llm.tokens import REMEMBERED, SLICE_BYTES, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -117,4 +117,4 @@ def token_counts(docs: DataFrame, path: str | None = None, key: str = "doc_id")
                 n, w = total(np.where(filled, each, 0)), total(filled.astype(np.int64))
                 yield pa.RecordBatch.from_pydict({key: batch.column(0).slice(lo, hi - lo), "n_words": pa.array(w[at[1:]] - w[at[:-1]]), "n_tokens": pa.array(n[at[1:]] - n[at[:-1]])})
 
-    return docs.select(key, "text").mapInArrow(rows, schema)
+    return docs.select(key, "text").mapInArrow(tidied(rows), schema)

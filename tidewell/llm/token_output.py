@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import maybe_broadcast, mix, new_path
+from tidewell.llm.common import maybe_broadcast, mix, new_path, tidied
 from tidewell.llm.tokens import encoder, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -139,7 +139,7 @@ def write(docs: DataFrame, to: str, path: str | None = None, end_id: int = END_I
         coder.forget()
 
     ordered = docs.select(F.col(key).cast("long").alias(key), "text").repartitionByRange(key).sortWithinPartitions(key, "text")
-    ordered.mapInArrow(blocks, schema).write.option("compression", "zstd").parquet(to)
+    ordered.mapInArrow(tidied(blocks), schema).write.option("compression", "zstd").parquet(to)
     return to
 
 
@@ -194,7 +194,7 @@ def digests(spark: SparkSession, at: str, key: str = "doc_id") -> DataFrame:
                 })
 
     blocks = spark.read.parquet(at).drop("first_key", "last_key", "n_ids")
-    return blocks.join(maybe_broadcast(manifest(spark, at)), ["shard", "block"]).select(columns).mapInArrow(rows, schema)
+    return blocks.join(maybe_broadcast(manifest(spark, at)), ["shard", "block"]).select(columns).mapInArrow(tidied(rows), schema)
 
 
 def lookup(spark: SparkSession, at: str, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -212,7 +212,7 @@ def lookup(spark: SparkSession, at: str, wanted: DataFrame, key: str = "doc_id")
                 hits = [(int(k), block.ids[slice(*block.span(d))]) for k, d in zip(keys, found.tolist(), strict=True) if d >= 0 and block.keys[d] == k]
                 yield pa.RecordBatch.from_pydict({key: pa.array([k for k, _ in hits], pa.int64()), "ids": pa.array([x.astype(np.int32) for _, x in hits], pa.list_(pa.int32()))})
 
-    return spark.read.parquet(at).drop("first_key", "last_key").join(asked, ["shard", "block"]).mapInArrow(rows, f"{key} long, ids array<int>")
+    return spark.read.parquet(at).drop("first_key", "last_key").join(asked, ["shard", "block"]).mapInArrow(tidied(rows), f"{key} long, ids array<int>")
 
 
 def token_output(docs: DataFrame, path: str | None = None, end_id: int = END_ID, key: str = "doc_id") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import materialize, slices, utf8
+from tidewell.llm.common import materialize, slices, tidied, utf8
 
 #: Labelled rows that terms and weights are learnt from.
 SAMPLE = 20_000
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = SAM
             yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic").cast(pa.int64())} | {r: pa.array(x[:, i]) for i, r in enumerate(RULES)})
 
     # no more rows than the sample; those without a match are one row
-    found = train.select("text", "toxic").mapInArrow(features, "toxic long, " + ", ".join(f"{r} double" for r in RULES))
+    found = train.select("text", "toxic").mapInArrow(tidied(features), "toxic long, " + ", ".join(f"{r} double" for r in RULES))
     counted = sorted(tuple(r) for r in found.groupBy("toxic", *RULES).count().collect())
     if counted:
         n = np.array([r[-1] for r in counted])
@@ -278,7 +278,7 @@ def score(docs: DataFrame, grammar: Grammar, key: str = "doc_id") -> DataFrame:
             for lo, own in scores.of(batch.column(1)):
                 yield pa.RecordBatch.from_pydict({key: batch.column(0).slice(lo, len(own)), "score": pa.array(own)})
 
-    return docs.select(key, "text").mapInArrow(rows, schema)
+    return docs.select(key, "text").mapInArrow(tidied(rows), schema)
 
 
 class Scores:
@@ -320,4 +320,4 @@ def rejects(docs: DataFrame, grammar: Grammar, key: str = "doc_id", threshold: f
             for lo, own in scores.of(batch.column(column)):
                 yield batch.slice(lo, len(own)).filter(pa.array(own < threshold))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(tidied(rows), docs.schema)
