@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tidewell.llm.common import slices, tidied, utf8
-from tidewell.llm.tokens import REMEMBERED, SLICE_BYTES, tokenizer_path
+from tidewell.llm.tokens import tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 #: What stands for the white space before a word in the vocabulary.
 MARK = "▁"
+#: Distinct pre-tokens that a task remembers before it starts afresh, and bytes of text that it splits at a time.
+REMEMBERED, SLICE_BYTES = 1_000_000, 4 << 20
 #: Log-probability of a byte that stands for a part of an unknown character, below any piece's.
 BYTE_LOG_P = -25.0
 
@@ -80,7 +82,7 @@ class Counter:
         found = list(map(self.known.get, words))
         missing = [i for i, n in enumerate(found) if n is None]
         if missing:
-            if len(self.known) + len(missing) > 2 * REMEMBERED:
+            if len(self.known) + len(missing) > REMEMBERED:
                 self.known.clear()
             new = sorted((words[i], i) for i in missing)
             for (word, i), n in zip(new, counts([MARK + w for w, _ in new], self.log_p, self.longest), strict=True):

@@ -21,8 +21,8 @@ import pyarrow as pa
 from tidewell.llm.common import slices, utf8
 
 #: Distinct units that a task remembers before it starts afresh: bounds its memory, changes no result.
-REMEMBERED = 500_000
-SLICE_BYTES = 4 << 20
+REMEMBERED = 200_000
+SLICE_BYTES = 1 << 20
 #: White space outside ASCII, as UTF-8.
 RARE_SPACE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
