@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontamination, embedding_dedup, hard_negatives, html_extract, jaccard_join, packing, secrets, sharding, suffix_dedup, token_counts, token_output, toxicity
+from tidewell.llm import alignment, decontamination, embedding_dedup, hard_negatives, html_extract, jaccard_join, packing, secrets, sharding, suffix_dedup, token_counts, token_output, toxicity
 from tidewell.llm.common import table
 from tidewell.llm.sql import SQL
 
@@ -67,6 +67,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near(table(spark, sf_dir, "embeddings"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), 100, label)
@@ -77,4 +81,4 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_packing, op4_html_extraction, op5_jaccard_join, op6_token_output, op7_decontamination, op8_secret_scans, op9_token_counts, op10_embedding_dedup, op12_hard_negatives, op13_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_packing, op4_html_extraction, op5_jaccard_join, op6_token_output, op7_decontamination, op8_secret_scans, op9_token_counts, op10_embedding_dedup, op11_alignment, op12_hard_negatives, op13_suffix_dedup)}
