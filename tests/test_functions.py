@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import markup, rewrite, security, segment
 from tidewell.functions import text as X
+from tidewell.functions.automata import Terms
 from tidewell.functions.vectors import dot, unit
 
 
@@ -36,11 +37,13 @@ def test_tokens(spark):
     assert text(spark, X.tokens, "特殊武器") == ["特殊", "殊武", "武器", "特", "殊", "武", "器"]
     assert text(spark, X.tokens, "Été a_1 武x") == ["été", "a_1", "x", "武"]
     assert text(spark, X.tokens, "") == []
-    assert segment.segment("主武器射程x武", frozenset({"武器", "射程"}), 2) == ["主", "武器", "射程", "武"]
+    longest = lambda s, terms: segment.segment(s, Terms(spark, terms))
+    assert longest("主武器射程x武", ["武器", "射程", "器射程"]) == ["主", "武器", "射程", "x", "武"]
 
 
 def test_segment_udf(spark):
-    assert value(spark, segment.words(F.col("s"), ["武器", "射程"]), s="主武器射程") == ["主", "武器", "射程"]
+    assert value(spark, segment.segmenter(spark, ["武器", "射程"])(F.col("s")), s="主武器射程x武") == ["主", "武器", "射程", "武"]
+    assert value(spark, segment.segmenter(spark, [])(F.col("s")), s="主武") == ["主", "武"]
 
 
 def test_titles_and_aliases(spark):

@@ -70,8 +70,8 @@ def test_entities(spark):
     names = spark.createDataFrame([("f1", 0, "Tri Bow"), ("f1", 1, "tb"), ("f2", 0, "三弓"), ("f2", 1, "Tri Bow"), ("f3", 0, "")], "name string, ord int, term string")
     asked = spark.createDataFrame([(0, "the TRI BOW"), (1, "a tb?"), (2, "none")], "qid long, question string")
     found = entities.matched(asked, names)
-    assert tuples(found) == [(0, "f1", "Tri Bow"), (0, "f2", "Tri Bow"), (1, "f1", "tb")]
-    assert (1, "f2", "Tri Bow") in tuples(entities.cross_language(found, names))
+    assert tuples(found) == [(0, "f1", "Tri Bow", "Tri Bow", None), (0, "f2", "Tri Bow", None, "Tri Bow"), (1, "f1", "tb", None, "tb")]
+    assert (1, "f2", "Tri Bow") in tuples(entities.cross_language(found, names).select("qid", "name", "term"))
     nicks = spark.createDataFrame([(0, "b", "B"), (0, "a", "A"), (0, "C", "C")], "qid long, nick string, canonical string")
     assert entities.note(nicks).first()["note"] == "'a' = A; 'b' = B"
 

@@ -1,35 +1,52 @@
-"""Word level tokens of CJK spans by the longest match in a lexicon, as an Arrow function."""
+"""Word level tokens by the longest match in a lexicon, as an Arrow function that index and search share."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPAN = re.compile("[一-鿿㐀-䶿豈-﫿]+")
-
-
-def segment(text: str, lexicon: frozenset[str], longest: int) -> list[str]:
-    """Words of the CJK spans: the longest entries from the left; characters outside any stand alone."""
-    out = []
-    for span in SPAN.findall(text or ""):
-        i = 0
-        while i < len(span):
-            n = next((n for n in range(min(longest, len(span) - i), 1, -1) if span[i : i + n] in lexicon), 1)
-            out.append(span[i : i + n])
-            i += n
-    return out
+from tidewell.functions.automata import Terms
+
+SPAN = "[一-鿿㐀-䶿豈-﫿]+"
+#: Characters that the words of a lexicon may have together: it is one automaton in every worker.
+CHARACTERS = 4 << 20
+#: A segmenter: from a text column to an array of words.
+Segmenter = Callable[[Column], Column]
+
+
+def segment(text: str, terms: Terms) -> list[str]:
+    """Words of a span: the longest entries from the left; characters outside any stand alone."""
+    out, at = [], 0
+    for start, end in terms.leftmost(text):
+        out += [*text[at:start], text[start:end]]
+        at = end
+    return [*out, *text[at:]]
+
+
+def segmenter(spark: SparkSession, lexicon: list[str] | DataFrame, span: str = SPAN) -> Segmenter:
+    """Cuts the spans of a text into words. lexicon: names of two or more characters (of a table: its column name); shorter ones are passed over."""
+    if isinstance(lexicon, DataFrame):
+        own = lexicon.where(F.length("name") > 1).select("name").distinct()
+        size = own.agg(F.sum(F.length("name"))).first()[0] or 0
+        if size > CHARACTERS:
+            raise ValueError(f"the lexicon has {size} characters; one automaton takes {CHARACTERS}")
+        lexicon = [r["name"] for r in own.collect()]
+    known = sorted({x for x in lexicon if x and len(x) > 1})
+    if sum(map(len, known)) > CHARACTERS:
+        raise ValueError(f"the lexicon has more than {CHARACTERS} characters")
+    terms, pattern = Terms(spark, known), re.compile(span)
 
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [w for s in pattern.findall(t or "") for w in segment(s, terms)])
 
-def words(text: Column, lexicon: list[str]) -> Column:
-    """lexicon: names of two or more characters; it travels with the query, so it must be a bounded list."""
-    known = frozenset(x for x in lexicon if len(x) > 1)
-    longest = max(map(len, known), default=1)
+    return words
 
-    @F.pandas_udf("array<string>")
-    def of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: segment(t, known, longest))
 
-    return of(text)
+def registered(names: DataFrame) -> DataFrame:
+    """name: the titles and file stems of a collection that are words of their own. names: stem, title."""
+    return names.select(F.explode(F.array("stem", "title")).alias("name")).where(F.length("name") > 1).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,10 +63,10 @@ def chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP, least: int =
     return F.filter(folded, lambda c: F.length(c) > least)
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Column, segmenter: Callable[[Column], Column] | None = None) -> Column:
     """Words of letters, digits and underscores in lower case; of each CJK span all bigrams and all characters. Repeats count.
 
-    Words of a CJK span need a dictionary: see `tidewell.functions.segment`.
+    Words of a CJK span need a dictionary: a segmenter of `tidewell.functions.segment` adds them.
     """
     plain = F.regexp_extract_all(F.regexp_replace(F.lower(text), f"[{CJK}]+", " "), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     spans = F.regexp_extract_all(text, F.lit(f"[{CJK}]+"), F.lit(0))
@@ -74,7 +76,8 @@ def tokens(text: Column) -> Column:
         each = lambda s: F.when(F.length(s) < n, none).otherwise(F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substring(s, i, F.lit(n))))
         return F.flatten(F.transform(spans, each))
 
-    return F.when(F.size(spans) == 0, plain).otherwise(F.concat(plain, grams(2), grams(1)))
+    own = F.when(F.size(spans) == 0, plain).otherwise(F.concat(plain, grams(2), grams(1)))
+    return own if segmenter is None else F.concat(own, segmenter(text))
 
 
 def is_stat(chunk: Column, headers=STAT_HEADERS, keywords=STAT_KEYWORDS, least: int = 3) -> Column:

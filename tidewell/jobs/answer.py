@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import rewrite, security
-from tidewell.operators import index, search
+from tidewell.functions.segment import Segmenter
+from tidewell.operators import entities, index, search
 from tidewell.session import settled
 
 Model = Callable[[list[str]], list[str]]
@@ -36,20 +37,32 @@ def prepared(questions: DataFrame, glossary: Column | None = None) -> DataFrame:
     return safe.select("qid", F.col("r.text").alias("question"), rewrite.counted(query).alias("query"), "blocked", F.col("r.count").alias("redacted"))
 
 
-def retrieved(questions: DataFrame, chunks: DataFrame, k: int, per_source: int) -> DataFrame:
-    """The diversified best chunks of each question: qid, doc_id, chunk_order, source, text, score, rank."""
-    scored = search.scores(questions, chunks).where("score > 0")
+def retrieved(questions: DataFrame, chunks: DataFrame, k: int, per_source: int, names: DataFrame | None = None, segmenter: Segmenter | None = None) -> DataFrame:
+    """The diversified best chunks of each question: qid, doc_id, chunk_order, source, text, score, rank. names: the sources that a question is restricted to."""
+    scored = search.scores(questions, chunks, segmenter).where("score > 0")
+    if names is not None:
+        scored = search.of_names(settled(scored), chunks, names)
     placed = scored.join(chunks.select(*index.ID, "source", F.xxhash64("text").alias("same")), index.ID)
     best = search.diversified(placed, k, per_source, same="same")
     return best.select("qid", *index.ID, "source", "score", "rank").join(chunks.select(*index.ID, "text"), index.ID)
 
 
-def answered(questions: DataFrame, chunks: DataFrame, model: Model, glossary: Column | None = None, k: int = 14, per_source: int = 2) -> DataFrame:
-    """qid, answer, hit_files, blocked, redacted."""
-    own = prepared(questions, glossary)
-    found = settled(retrieved(own.select("qid", F.col("query").alias("question")), chunks, k, per_source))
+def understood(questions: DataFrame, glossary: Column | None, names: DataFrame | None, reference: str | None) -> tuple[DataFrame, DataFrame | None]:
+    """qid, question, shown (with its note), query, blocked, redacted; and the sources that questions are restricted to."""
+    own = settled(prepared(questions, glossary))
+    if names is None:
+        return own.withColumn("shown", F.col("question")), None
+    known, filters = entities.resolved(own, names, reference)
+    shown = entities.noted(F.col("question"), F.col("note")).alias("shown")
+    return own.select("qid", "blocked", "redacted").join(known.select("qid", "question", "query", shown), "qid"), filters
+
+
+def answered(questions: DataFrame, chunks: DataFrame, model: Model, glossary: Column | None = None, k: int = 14, per_source: int = 2, names: DataFrame | None = None, reference: str | None = None, segmenter: Segmenter | None = None) -> DataFrame:
+    """qid, answer, hit_files, blocked, redacted. names, reference: as `entities.resolved`, names being sources."""
+    own, filters = understood(questions, glossary, names, reference)
+    found = settled(retrieved(own.select("qid", F.col("query").alias("question")), chunks, k, per_source, filters, segmenter))
     both = own.join(search.context(found), "qid", "left").join(search.hit_sources(found), "qid", "left")
-    prompt = search.prompt(F.coalesce("context", F.lit("")), F.col("question"))
+    prompt = search.prompt(F.coalesce("context", F.lit("")), F.col("shown"))
     return both.select("qid", rewrite.without_directives(asked(model, prompt), FALLBACK).alias("answer"), F.coalesce("hit_files", F.lit("")).alias("hit_files"), "blocked", "redacted")
 
 
@@ -60,21 +73,23 @@ def accumulated(before: DataFrame | None, new: DataFrame) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "round", *index.ID)))
 
 
-def in_rounds(questions: DataFrame, chunks: DataFrame, model: Model, rounds: int = 4, k: int = 14, per_source: int = 2, most: int = 200) -> DataFrame:
+def in_rounds(questions: DataFrame, chunks: DataFrame, model: Model, rounds: int = 4, k: int = 14, per_source: int = 2, most: int = 200, glossary: Column | None = None, names: DataFrame | None = None, reference: str | None = None, segmenter: Segmenter | None = None) -> DataFrame:
     """qid, answer, rounds. In each round the model answers, or asks to SEARCH for something else, or to EXHAUST all that matches.
 
     After EXHAUST with something new, or the last round, it must answer from the chunks gathered (most at most). The loop runs over rounds, never over rows.
+    Only the first round is restricted to the sources that a question names; later ones compare with all.
     """
-    open_ = settled(prepared(questions).select("qid", "question", "query"))
+    own, filters = understood(questions, glossary, names, reference)
+    open_ = settled(own.select("qid", F.col("shown").alias("question"), "query"))
     gathered, done = None, None
     for number in range(1, rounds + 1):
-        found = retrieved(open_.select("qid", F.col("query").alias("question")), chunks, k, per_source).drop("rank").withColumn("round", F.lit(number))
+        found = retrieved(open_.select("qid", F.col("query").alias("question")), chunks, k, per_source, filters if number == 1 else None, segmenter).drop("rank").withColumn("round", F.lit(number))
         gathered = settled(accumulated(gathered.drop("rank") if gathered is not None else None, found))
         context = search.context(gathered.where(F.col("rank") <= 2 * k))
         reply = open_.join(context, "qid", "left").withColumn("reply", asked(model, search.prompt(F.coalesce("context", F.lit("")), F.col("question"))))
         reply = settled(reply.select("qid", "question", "query", "reply", rewrite.directive(F.col("reply")).alias("d")))
         all_ = reply.where("d.kind = 'EXHAUST'").select("qid", F.col("d.query").alias("question"))
-        hits = search.exhaustive(search.scores(all_, chunks), most).join(chunks.select(*index.ID, "source"), index.ID)
+        hits = search.exhaustive(search.scores(all_, chunks, segmenter), most).join(chunks.select(*index.ID, "source"), index.ID)
         more = search.expanded(hits, chunks).drop("hit").join(chunks.select(*index.ID, "text"), index.ID).withColumn("round", F.lit(number))
         new = more.join(gathered.select("qid", *index.ID), ["qid", *index.ID], "left_anti").select("qid").distinct().withColumn("more", F.lit(True))
         gathered = settled(accumulated(gathered.drop("rank"), more))

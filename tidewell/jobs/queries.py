@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions import markup, rewrite, security
+from tidewell.functions import markup, rewrite, security, segment
 from tidewell.functions import text as X
 from tidewell.functions.vectors import unit
-from tidewell.jobs import sql
+from tidewell.jobs import answer, sql
 from tidewell.operators import dense, entities, incremental, index, reports, search, store
-from tidewell.session import table
+from tidewell.session import settled, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,6 +36,11 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return index.chunked(table(spark, d, "documents"))
 
 
+def written(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that a query reads more than once."""
+    return settled(chunks(spark, d))
+
+
 def one(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, QUESTION)], "qid long, question string")
 
@@ -64,13 +69,13 @@ def chunk_terms(spark, d):
 
 @query(f"WITH {sql.TERMS} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def idf_table(spark, d):
-    own = chunks(spark, d)
+    own = written(spark, d)
     return index.idf(index.vectors(own), own).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {sql.TERMS} SELECT doc_id, chunk_order, term, round(tf * idf, 6) AS weight FROM tf JOIN idf USING (term)")
 def doc_vectors(spark, d):
-    own = chunks(spark, d)
+    own = written(spark, d)
     found = index.vectors(own)
     return index.weighted(found, index.idf(found, own)).select(*index.ID, "term", F.round("weight", 6).alias("weight"))
 
@@ -80,14 +85,14 @@ def doc_vectors(spark, d):
 
 @query(f"WITH {sql.scored(ONE)} {sql.top('scored', 10)}")
 def sparse_topk(spark, d):
-    own = chunks(spark, d)
-    return search.top_k(search.scores(one(spark), own), own, one(spark), 10)
+    own = written(spark, d)
+    return search.top_k(search.scores(one(spark), own, keep=10), own, one(spark), 10)
 
 
 @query(f"WITH {sql.scored(BATCH)}, filler AS (SELECT qid, doc_id, chunk_order, 0.0::DOUBLE AS score FROM q, (SELECT doc_id, chunk_order FROM chunks ORDER BY 1, 2 LIMIT 20)), filled AS (SELECT * FROM scored WHERE score > 0 UNION ALL SELECT * FROM filler WHERE (qid, doc_id, chunk_order) NOT IN (SELECT (qid, doc_id, chunk_order) FROM scored WHERE score > 0)) {sql.top('filled', 10)}")
 def sparse_batch(spark, d):
-    own, asked = chunks(spark, d), batch(spark, d)
-    return search.top_k(search.scores(asked, own), own, asked, 10)
+    own, asked = written(spark, d), batch(spark, d)
+    return search.top_k(search.scores(asked, own, keep=10), own, asked, 10)
 
 
 HITS = "hits AS (SELECT s.* FROM scored s JOIN (SELECT qid, max(score) AS top FROM scored GROUP BY 1) USING (qid) WHERE score > 0 AND score >= 0.1 * top)"
@@ -95,12 +100,12 @@ HITS = "hits AS (SELECT s.* FROM scored s JOIN (SELECT qid, max(score) AS top FR
 
 @query(f"WITH {sql.scored(BATCH)}, {HITS} {sql.top('hits', 200)}")
 def exhaustive_search(spark, d):
-    return search.exhaustive(search.scores(batch(spark, d), chunks(spark, d)))
+    return search.exhaustive(search.scores(batch(spark, d), chunks(spark, d), keep=200))
 
 
 @query(f"WITH {sql.scored(BATCH)}, kept AS (SELECT s.* FROM scored s JOIN chunks USING (doc_id, chunk_order) WHERE source IN ('src0', 'src3') AND score > 0) {sql.top('kept', 10)}")
 def source_filtered_topk(spark, d):
-    own = chunks(spark, d)
+    own = written(spark, d)
     return search.best(search.of_sources(search.scores(batch(spark, d), own).where("score > 0"), own, ["src0", "src3"]), 10)
 
 
@@ -112,7 +117,7 @@ diverse AS (SELECT * FROM (SELECT qid, doc_id, chunk_order, score, source, text,
 
 
 def diverse(spark: SparkSession, d: str) -> DataFrame:
-    own = chunks(spark, d)
+    own = written(spark, d)
     placed = search.scores(batch(spark, d), own).where("score > 0").join(own.select(*index.ID, "source", F.xxhash64("text").alias("same")), index.ID)
     return search.diversified(placed, 14, same="same").drop("same")
 
@@ -139,7 +144,7 @@ def hit_files(spark, d):
     UNION ALL SELECT t.qid, c.doc_id, c.chunk_order, c.source, t.score, false FROM chunks c JOIN tops t USING (source) WHERE (c.doc_id, c.chunk_order) NOT IN (SELECT (doc_id, chunk_order) FROM placed)"""
 )
 def exhaust_expand(spark, d):
-    own = chunks(spark, d)
+    own = written(spark, d)
     hits = search.exhaustive(search.scores(one(spark), own)).join(own, index.ID)
     return search.expanded(hits, own)
 
@@ -259,7 +264,93 @@ def html_items(spark, d):
 @query("SELECT item_id AS qid, name, name AS term FROM benchmark JOIN (SELECT DISTINCT lower(regexp_extract(text, '^[A-Za-z]+')) AS name FROM documents) ON length(name) > 5 AND contains(lower(text), name)")
 def entity_match(spark, d):
     names = table(spark, d, "documents").select(F.lower(F.regexp_extract("text", "^[A-Za-z]+", 0)).alias("name")).where("length(name) > 5").distinct()
-    return entities.matched(batch(spark, d), names.select("name", F.lit(0).alias("ord"), F.col("name").alias("term")))
+    return entities.matched(batch(spark, d), names.select("name", F.lit(0).alias("ord"), F.col("name").alias("term"))).select("qid", "name", "term")
+
+
+#: Entries: a source, titled by the first word of its first document, with the first words of the others as aliases; src7 is the reference.
+ENTRIES = r"""firsts AS (SELECT doc_id, source AS name, lower(regexp_extract(text, '^[A-Za-z]+')) AS term FROM documents),
+named AS (SELECT name, min(doc_id) AS doc_id, term FROM firsts WHERE length(term) > 3 GROUP BY name, term),
+names AS (SELECT name, row_number() OVER (PARTITION BY name ORDER BY doc_id) - 1 AS ord, term FROM named),
+titles AS (SELECT name, term AS title FROM names WHERE ord = 0)"""
+MATCHED = """{0}_title AS (SELECT qid, t.name FROM {1} JOIN titles t ON contains(lower({2}), title)),
+{0}_nick AS (SELECT qid, name, arg_min(term, ord) AS nick FROM {1} JOIN names ON ord > 0 AND contains(lower({2}), term) GROUP BY 1, 2),
+{0}_own AS (SELECT * FROM {0}_title UNION SELECT qid, name FROM {0}_nick),
+{0}_all AS (SELECT * FROM {0}_own UNION SELECT m.qid, n.name FROM {0}_own m JOIN titles t ON m.name = t.name JOIN names n ON n.ord > 0 AND n.term = t.title)"""
+RESOLVED = f"""asked AS (SELECT item_id AS qid, text AS question, lower(text) AS query FROM benchmark),
+{ENTRIES}, {MATCHED.format("o", "asked", "question")},
+meanings AS (SELECT qid, nick, arg_max(title, n.name) AS canonical FROM o_nick n JOIN titles t ON n.name = t.name WHERE nick <> title GROUP BY 1, 2),
+notes AS (SELECT qid, string_agg('''' || nick || ''' = ' || canonical, '; ' ORDER BY '''' || nick || ''' = ' || canonical) AS note FROM meanings GROUP BY 1),
+steps AS (SELECT row_number() OVER (ORDER BY n.name, -length(term), ord) AS k, title, term FROM names n JOIN titles t ON n.name = t.name WHERE ord > 0 AND term <> title),
+walk AS (SELECT qid, 0::BIGINT AS k, query AS t FROM asked UNION ALL
+  SELECT qid, s.k, CASE WHEN contains(t, title) OR NOT contains(t, term) THEN t ELSE left(t, strpos(t, term) - 1) || title || substr(t, strpos(t, term) + length(term)) END FROM walk w JOIN steps s ON s.k = w.k + 1),
+queries AS (SELECT qid, t AS query FROM walk WHERE k = (SELECT count(*) FROM steps)),
+{MATCHED.format("r", "queries", "query")},
+chosen AS (SELECT * FROM r_all UNION SELECT * FROM o_all WHERE qid NOT IN (SELECT qid FROM r_all)),
+filters AS (SELECT * FROM chosen UNION SELECT qid, 'src7' FROM (SELECT DISTINCT qid FROM chosen) WHERE 'src7' IN (SELECT name FROM names))"""
+
+
+def entries(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "documents").select("doc_id", F.col("source").alias("name"), F.lower(F.regexp_extract("text", "^[A-Za-z]+", 0)).alias("term")).where("length(term) > 3")
+    own = words.groupBy("name", "term").agg(F.min("doc_id").alias("doc_id"))
+    return own.select("name", F.when(F.col("doc_id") == F.min("doc_id").over(Window.partitionBy("name")), 0).otherwise(F.col("doc_id") + 1).alias("ord"), "term")
+
+
+def resolution(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    asked = batch(spark, d).withColumn("query", F.lower("question"))
+    return entities.resolved(asked, entries(spark, d), "src7")
+
+
+@query(f"WITH RECURSIVE {RESOLVED} SELECT a.qid, q.query, coalesce(note, '') AS note, coalesce((SELECT string_agg(name, ',' ORDER BY name) FROM filters f WHERE f.qid = a.qid), '') AS names FROM asked a JOIN queries q ON a.qid = q.qid LEFT JOIN notes n ON n.qid = a.qid")
+def question_resolution(spark, d):
+    known, filters = resolution(spark, d)
+    names = filters.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+    return known.join(names, "qid", "left").select("qid", "query", "note", F.coalesce("names", F.lit("")).alias("names"))
+
+
+@query(
+    f"""WITH RECURSIVE {RESOLVED}, {sql.scored("SELECT qid, query AS question FROM queries").strip()},
+    free AS (SELECT qid, doc_id, chunk_order, score FROM scored WHERE score > 0 AND qid NOT IN (SELECT qid FROM filters)),
+    bound AS (SELECT f.qid, c.doc_id, c.chunk_order, coalesce(s.score, 0) AS score FROM chunks c JOIN filters f ON c.source = f.name LEFT JOIN scored s ON s.qid = f.qid AND s.doc_id = c.doc_id AND s.chunk_order = c.chunk_order),
+    held AS (SELECT * FROM free UNION ALL SELECT * FROM bound),
+    placed AS (SELECT h.*, source, text FROM held h JOIN chunks USING (doc_id, chunk_order)),
+    once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, text, score ORDER BY doc_id, chunk_order) AS again FROM placed) WHERE again = 1),
+    nths AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, doc_id, chunk_order) AS nth FROM once),
+    ranked AS (SELECT *, CASE WHEN nth = 1 THEN 1 WHEN nth <= 2 THEN 2 ELSE 3 END AS round FROM nths)
+    SELECT qid, doc_id, chunk_order, score, source, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round, score DESC, doc_id, chunk_order) AS rank FROM ranked) WHERE rank <= 14"""
+)
+def question_retrieval(spark, d):
+    """What each question of the batch is answered from: its query, restricted to the sources that it names."""
+    known, filters = resolution(spark, d)
+    found = answer.retrieved(known.select("qid", F.col("query").alias("question")), written(spark, d), 14, 2, filters)
+    return found.select("qid", *index.ID, "score", "source", "rank")
+
+
+LEXICON = "lexicon AS (SELECT string_agg(name, '|' ORDER BY length(name) DESC, name) || '|[a-z]' AS p FROM (SELECT DISTINCT lower(regexp_extract(text, '^[A-Za-z]+')) AS name FROM documents) WHERE length(name) > 1)"
+
+
+def lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """A Latin lexicon: the first words of documents."""
+    return table(spark, d, "documents").select(F.lower(F.regexp_extract("text", "^[A-Za-z]+", 0)).alias("name")).distinct()
+
+
+@query(f"WITH {LEXICON}, cut AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), p)) AS word FROM documents, lexicon) SELECT doc_id, word, count(*) AS n FROM cut WHERE length(word) > 1 GROUP BY 1, 2")
+def lexicon_words(spark, d):
+    """Word level tokens of documents: runs of letters cut at the lexicon's words, the longest from the left."""
+    words = segment.segmenter(spark, lexicon(spark, d), "[a-z]+")
+    each = index.spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(words(F.lower("text"))).alias("word"))
+    return each.where("length(word) > 1").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
+SEGMENTED = sql.scored(BATCH).replace(WORDS.format("text"), f"list_concat({WORDS.format('text')}, regexp_extract_all(text, (SELECT p FROM lexicon)))").replace(WORDS.format("question"), f"list_concat({WORDS.format('question')}, regexp_extract_all(question, (SELECT p FROM lexicon)))")
+
+
+@query(f"WITH {LEXICON}, {SEGMENTED.strip()} {sql.top('scored', 10)}")
+def segmented_topk(spark, d):
+    """Search with a segmenter in the index and in the questions."""
+    own, asked = written(spark, d), batch(spark, d)
+    words = segment.segmenter(spark, lexicon(spark, d), "[a-z]+")
+    return search.best(search.scores(asked, own, words, keep=10), 10)
 
 
 @query("WITH s AS (SELECT DISTINCT source AS name FROM documents) SELECT s.name, coalesce((SELECT min(b.name) FROM s b WHERE length(s.name) = length(b.name) + 1 AND starts_with(s.name, b.name)), s.name) AS family FROM s")

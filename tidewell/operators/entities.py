@@ -2,32 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators.search import small
+from tidewell.operators import lexicon
+from tidewell.session import settled
 
 # What a variant's name may add to its base name.
 SUFFIXES = ("ANGL", "ASH", "OWL", "GECK", "BRNZ", "FRZN", "SNEK", "PYTN", "FRST", "MG", "RG", "D", "SNAK", "COBR", "WNTR", "CREM", "RUST")
 
 
-def matched(questions: DataFrame, names: DataFrame, title: str = "title") -> DataFrame:
-    """qid, name, term: names whose title, or else first alias in order, is in the question (any case). names: name, ord, term (ord 0: the title).
+def matched(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """qid, name, term, title, nick: names whose title or an alias is in the question (any case). names: name, ord, term (ord 0: the title).
 
-    Containment is no equality: the batch of questions goes to every task if it is small, and the lexicon stays where it is.
+    title is the title if that is there, nick the first alias in order that is; term is either, the title before the alias. The question is read once by
+    an automaton of all terms (`lexicon.held`), and names join its hits by equality.
     """
-    asked = small(questions.select("qid", F.lower("question").alias("q")))
-    hits = names.join(asked, (F.col("term") != "") & F.contains("q", F.lower("term")))
-    return hits.groupBy("qid", "name").agg(F.min_by("term", "ord").alias("term"))
+    own = names.where("term != ''").select("name", "ord", "term", F.lower("term").alias("_low"))
+    asked = questions.select("qid", F.lower("question").alias("text"))
+    hits = lexicon.held(asked, own.select(F.col("_low").alias("term"))).withColumnRenamed("term", "_low")
+    first = F.min(F.when(F.col("ord") > 0, F.struct("ord", "term")))["term"]
+    each = hits.join(own, "_low").groupBy("qid", "name").agg(F.min(F.when(F.col("ord") == 0, F.col("term"))).alias("title"), first.alias("nick"))
+    return each.select("qid", "name", F.coalesce("title", "nick").alias("term"), "title", "nick")
+
+
+def meanings(found: DataFrame, names: DataFrame) -> DataFrame:
+    """qid, nick, canonical: aliases that `matched` found which are not their name's title; of one alias of several names the last name's."""
+    titles = names.where("ord = 0 AND term != ''").select("name", F.col("term").alias("canonical"))
+    each = found.where("nick IS NOT NULL").select("qid", "name", "nick").join(titles, "name").where("nick != canonical")
+    return each.groupBy("qid", "nick").agg(F.max_by("canonical", "name").alias("canonical"))
 
 
 def cross_language(found: DataFrame, names: DataFrame) -> DataFrame:
     """found with the names that have a found name's title as an alias, in exact spelling."""
     titles = names.where("ord = 0").select("name", F.col("term").alias("title"))
     other = names.where("ord > 0").select(F.col("name").alias("other"), F.col("term").alias("title")).distinct()
-    more = found.join(titles, "name").join(other, "title").select("qid", F.col("other").alias("name"), F.col("title").alias("term"))
+    more = found.select("qid", "name").join(titles, "name").join(other, "title").select("qid", F.col("other").alias("name"), F.col("title").alias("term"))
     more = more.dropDuplicates(["qid", "name"]).join(found.select("qid", "name"), ["qid", "name"], "left_anti")
-    return found.unionByName(more)
+    return found.unionByName(more, allowMissingColumns=True)
 
 
 def note(aliases: DataFrame) -> DataFrame:
@@ -36,6 +48,37 @@ def note(aliases: DataFrame) -> DataFrame:
     return aliases.where("nick != canonical").groupBy("qid").agg(F.array_join(pairs, "; ").alias("note"))
 
 
+def noted(question: Column, note_: Column) -> Column:
+    """The question as a model is shown it: what its aliases mean comes first."""
+    lead = F.concat(F.lit("[Names in this question: "), note_, F.lit(". Each means that entry only, not others whose names contain it.]\n\n"))
+    return F.when(F.coalesce(note_, F.lit("")) == "", question).otherwise(F.concat(lead, question))
+
+
+def resolved(questions: DataFrame, names: DataFrame, reference: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What each question is about. questions: qid, question (as asked), query (rewritten for search). names: as `matched`.
+
+    First: qid, question, query (aliases replaced by titles), note. Second: qid, name, the entries that a question is restricted to: those that its query
+    names, or else those that it names itself, with the counterparts in other languages, and the reference entry where there are any. A
+    question without rows there is not restricted. Notes are of the question as asked, which replacement would hide.
+    """
+    names = settled(names.select("name", "ord", "term"))
+    asked = settled(questions.select("qid", "question", "query"))
+    original = settled(matched(asked, names))
+    titles = names.where("ord = 0 AND term != ''").select("name", F.col("term").alias("canonical"))
+    nicks = names.where("ord > 0").join(titles, "name").select(F.col("name").alias("ord"), F.col("ord").alias("at"), "canonical", F.col("term").alias("nick"))
+    queries = settled(lexicon.renamed(asked.select("qid", F.col("query").alias("text")), nicks))
+    rewritten = cross_language(matched(queries.withColumnRenamed("text", "question"), names), names).select("qid", "name")
+    rewritten = settled(rewritten)
+    own = cross_language(original, names).select("qid", "name").join(rewritten.select("qid").distinct(), "qid", "left_anti")
+    chosen = rewritten.unionByName(own)
+    if reference is not None:
+        there = names.where(F.col("name") == reference).select("name").distinct()  # one row, or none
+        chosen = chosen.unionByName(chosen.select("qid").distinct().crossJoin(F.broadcast(there))).distinct()
+    notes = note(meanings(original, names))
+    out = asked.select("qid", "question").join(queries.withColumnRenamed("text", "query"), "qid").join(notes, "qid", "left")
+    return settled(out.select("qid", "question", "query", F.coalesce("note", F.lit("")).alias("note"))), settled(chosen.distinct())
+
+
 def families(names: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """name, family: a name joins the shortest earlier name that it continues with a space, a bracket or a known suffix, and that leads a family.
 

@@ -7,21 +7,28 @@ shuffles. What is read more than once (postings of a batch's terms, scores) is w
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.functions import text as X
-from tidewell.operators.index import ID, idf, vectors
+from tidewell.functions.segment import Segmenter
+from tidewell.operators.index import ID
 from tidewell.session import settled
 
-#: Terms of a batch of questions that may be broadcast; a larger batch is joined by shuffle.
+#: Tokens of questions that go to every task at once, and rows of a side that may be broadcast.
 BATCH_TERMS = 1_000_000
 PLACES = 6
 
 
-def query_vectors(questions: DataFrame, weights: DataFrame) -> DataFrame:
-    """qid, term, weight: tf over all tokens of the question, known terms only, times idf."""
-    tokens = questions.select("qid", X.tokens(F.col("question")).alias("tokens"))
+def query_vectors(questions: DataFrame, weights: DataFrame, segmenter: Segmenter | None = None) -> DataFrame:
+    """qid, term, weight: tf over all tokens of the question, known terms only, times idf. segmenter: the index's."""
+    tokens = questions.select("qid", X.tokens(F.col("question"), segmenter).alias("tokens"))
     each = tokens.select("qid", F.size("tokens").alias("total"), F.explode("tokens").alias("term")).groupBy("qid", "term", "total").agg(F.count(F.lit(1)).alias("n"))
     return each.join(weights.select("term", "idf"), "term").select("qid", "term", (F.col("n") / F.col("total") * F.col("idf")).alias("weight"), "idf")
 
@@ -31,14 +38,100 @@ def small(df: DataFrame, rows: int = BATCH_TERMS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """qid, doc_id, chunk_order, score of every chunk that shares a term with the question. Only the questions' terms are counted."""
-    tokens = questions.select(F.explode(X.tokens(F.col("question"))).alias("term"))
-    few = tokens.limit(BATCH_TERMS + 1).count() <= BATCH_TERMS  # it bounds both sides below
-    near = F.broadcast if few else lambda df: df
-    met = settled(vectors(chunks, near(tokens.distinct())))
-    met = met.join(near(query_vectors(questions, idf(met, chunks))), "term")
-    return met.groupBy("qid", *ID).agg(F.round(F.sum(F.col("tf") * F.col("idf") * F.col("weight")), PLACES).alias("score"))
+def met(chunks: DataFrame, terms: list[str], segmenter: Segmenter | None = None) -> DataFrame:
+    """Of every chunk: its ID, at (places in terms of those that it has) and tf. A chunk is tokenised once, its terms are counted in its task, nothing is shuffled."""
+    spark = chunks.sparkSession
+    known = spark.sparkContext.broadcast(terms)
+
+    def counted(batches):
+        names = pa.array(known.value, pa.string())
+        for batch in batches:
+            tokens = batch.column("tokens")
+            total = tokens.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            own = tokens.flatten().dictionary_encode()
+            place = pc.fill_null(pc.index_in(own.dictionary, names), -1).to_numpy()[own.indices.to_numpy()].astype(np.int64)
+            row = np.repeat(np.arange(len(total)), total)[place >= 0]
+            key, n = np.unique(row * (len(names) + 1) + place[place >= 0], return_counts=True)
+            row, place = np.divmod(key, len(names) + 1)
+            ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(total))))), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(place, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(n / total[row], pa.float64()))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ID), *lists], [*ID, "at", "tf"])
+
+    own = chunks.select(*ID, X.tokens(F.col("text"), segmenter).alias("tokens"))
+    kinds = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in ID)
+    return settled(own.mapInArrow(counted, f"{kinds}, at array<int>, tf array<double>"))
+
+
+def scores(questions: DataFrame, chunks: DataFrame, segmenter: Segmenter | None = None, keep: int | None = None) -> DataFrame:
+    """qid, doc_id, chunk_order, score of every chunk that shares a term with the question.
+
+    Questions come in blocks of at most about BATCH_TERMS tokens. The terms of a block go to every task with their weights; a chunk's products with all
+    questions are summed where the chunk lies, so only scores leave the task. keep: of each question a task keeps what can be among so many best.
+    """
+    spark = questions.sparkSession
+    asked = settled(questions.select("qid", X.tokens(F.col("question"), segmenter).alias("tokens")))
+    size = asked.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    blocks = max(1, -(-size // BATCH_TERMS))
+    out = None
+    for block in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).select("qid", "tokens").toArrow()
+        found = scored(spark, [(q, t) for q, t in zip(some["qid"].to_pylist(), some["tokens"].to_pylist(), strict=True) if t], chunks, asked.schema["qid"].dataType, segmenter, keep)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+#: Scores that a task sums at once.
+CELLS = 4_000_000
+
+
+def scored(spark, questions: list[tuple], chunks: DataFrame, kind, segmenter: Segmenter | None, keep: int | None) -> DataFrame:
+    """`scores` of one block: pairs of a qid and its tokens."""
+    terms = sorted({t for _, tokens in questions for t in tokens})
+    own = met(chunks, terms, segmenter)
+    total = own.count()
+    df = np.zeros(len(terms), np.int64)
+    for r in own.select(F.explode("at").alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("df")).collect():  # no more rows than the block has terms
+        df[r["at"]] = r["df"]
+    idf_ = np.log((total - df + 0.5) / (df + 0.5) + 1)
+    place = {t: i for i, t in enumerate(terms)}
+    each = [(place[t], q, n / len(tokens)) for q, (_, tokens) in enumerate(questions) for t, n in Counter(tokens).items() if df[place[t]]]
+    each.sort()
+    at, question, tf = (np.array([x[i] for x in each], kind) for i, kind in enumerate((np.int64, np.int64, np.float64)))
+    weight = tf * idf_[at] * idf_[at]  # the chunk's weight and the question's both hold the idf
+    first = np.searchsorted(at, np.arange(len(terms) + 1))
+    shared = spark.sparkContext.broadcast((question, weight, first, pa.array([q for q, _ in questions])))
+    schema = T.StructType([T.StructField("qid", kind), *[chunks.schema[c] for c in ID], T.StructField("score", T.DoubleType())])
+
+    def summed(batches):
+        question, weight, first, names = shared.value
+        many = max(1, len(names))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, max(1, CELLS // many)):
+                batch = whole.slice(lo, max(1, CELLS // many))
+                lists = batch.column("at")
+                row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+                at, tf = lists.flatten().to_numpy(), batch.column("tf").flatten().to_numpy()
+                n = first[at + 1] - first[at]
+                which = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                key, value = np.repeat(row, n) * many + question[which], np.repeat(tf, n) * weight[which]
+                if 8 * len(key) < batch.num_rows * many:
+                    key, inverse = np.unique(key, return_inverse=True)
+                    score = np.bincount(inverse, value, len(key))
+                else:
+                    score, there = np.bincount(key, value, batch.num_rows * many), np.bincount(key, minlength=batch.num_rows * many)
+                    key = np.flatnonzero(there)
+                    score = score[key]
+                row, q = np.divmod(key, many)
+                if keep is not None and len(key):
+                    order = np.lexsort((-score, q))
+                    begin = np.searchsorted(q[order], np.arange(many + 1))
+                    last = order[np.minimum(begin[:-1] + keep, np.maximum(begin[1:], 1)) - 1]  # the last that counts of each question
+                    ok = score >= score[last][q] - 10.0**-PLACES  # ties after rounding stay
+                    row, q, score = row[ok], q[ok], score[ok]
+                columns = [names.take(pa.array(q)), *(batch.column(c).take(pa.array(row)) for c in ID), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(columns, ["qid", *ID, "score"])
+
+    return own.mapInArrow(summed, schema).withColumn("score", F.round("score", PLACES))
 
 
 def best(scored: DataFrame, k: int, *ties: str) -> DataFrame:
@@ -69,6 +162,18 @@ def of_sources(scored: DataFrame, chunks: DataFrame, sources: list[str] | None)
     return scored.join(chunks.where(F.col("source").isin(*sources)).select(*ID), ID, "left_semi")
 
 
+def of_names(scored: DataFrame, chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """Hits under a filter for each question. names: qid, name (a source). A question without names keeps its hits.
+
+    A question with names gets all chunks of these sources, those without a common term at score zero, and nothing else; so it may get nothing.
+    """
+    filtered = names.select("qid").distinct()
+    free = scored.join(filtered, "qid", "left_anti").select("qid", *ID, "score")
+    own = chunks.select(*ID, "source").join(names.select("qid", F.col("name").alias("source")).distinct(), "source")
+    bound = own.join(scored.select("qid", *ID, "score"), ["qid", *ID], "left").select("qid", *ID, F.coalesce("score", F.lit(0.0)).alias("score"))
+    return free.unionByName(bound)
+
+
 def fused(sparse: DataFrame, dense: DataFrame, weight: float, on: list[str]) -> DataFrame:
     """Both scores divided by their largest over all rows of the question, and mixed. Rows that one side lacks count zero there."""
     tops = lambda df: df.groupBy("qid").agg(F.max("score").alias("top"))
