@@ -469,6 +469,25 @@ def test_decontamination_recall_near_the_threshold(spark):
     assert 60 < sum(map(len, wanted.values())) < len(texts) and found == wanted
 
 
+def test_decontamination_of_repeated_words_and_long_items(spark):
+    """Items whose last places one repeated word takes, which a window's fingerprint must not follow, up to 1,004 words; and items that repeat words."""
+    items, texts = {}, []
+    for n in (104, 304, 1004):
+        for share in (0.11, 0.12):
+            w = [f"w{n}x{share}x{j}" for j in range(n)]
+            k = n - round(share * (n - 4))
+            items[len(items)] = " ".join(w)
+            texts.append(" ".join(["x"] * 7 + w[:k] + ["r"] * (n - k) + ["z"] * 5))
+            items[len(items)] = " ".join(w[:k] + [f"q{n}"] * (n - k))  # the other way round
+            texts.append(" ".join(["y"] * 3 + w))
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {r["doc_id"]: set(r["item_ids"]) for r in decontamination.mark(docs(spark, texts), benchmark).collect()}
+    for d, t in enumerate(texts):
+        near = {i: items[i] for i in items if items[i].split()[0] in t.split()}
+        assert found[d] == set(held(t, near))
+    assert 12 <= sum(map(len, found.values())) < 24
+
+
 def test_blocks_guarantee_the_radius(spark):
     """Fingerprints at the radius, with their bits wherever they are, share a filed value in some block."""
     rng = np.random.default_rng(7)

@@ -4,7 +4,8 @@
    it is shorter) are begun at each shingle of a document that is an item's of that size. Any window can be moved right to its first
    such shingle, or to the document's end, without losing one, so these include a best one, in whatever order the item's parts stand.
    Windows with fewer such shingles than the threshold demands of an item of that size cannot match and are left out.
-2. Each window and each item has a 64-bit SimHash of its shingles, by their number. It is cut into ``BLOCKS`` blocks of eight bits. Two
+2. Each window and each item has a 64-bit SimHash of its shingles, equal ones told apart by their number, so that a multiset is a set whose
+   Jaccard similarity is the multiset's weighted one, and a word that stands many times weighs no more than its places. It is cut into ``BLOCKS`` blocks of eight bits. Two
    fingerprints within ``RADIUS`` bits of each other differ in at most RADIUS // BLOCKS bits in one of these, so an item is filed in each
    block under all values so near its own, and windows look up items of their size by their own value: no pair within the
    radius is missed. Then the distance is taken. Two sets at the threshold differ in ten bits on average, with a deviation of three, so a
@@ -44,8 +45,15 @@ def shingles(hashes: Column, words: int = WORDS) -> Column:
     return F.when(F.size(hashes) < words, F.array().cast("array<long>")).otherwise(F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(words)])))
 
 
+def numbered(own: Column) -> Column:
+    """The shingles of a multiset as a set: the first of equal ones as it is, further ones hashed with their number. own: a sorted column (no expression, for it is read for each shingle)."""
+    nth = lambda x, i: (i + 1 - F.array_position(own, x)).cast("int")
+    each = F.transform(own, lambda x, i: F.when(nth(x, i) == 0, x).otherwise(F.xxhash64(x, nth(x, i))))
+    return F.when(F.size(F.array_distinct(own)) == F.size(own), own).otherwise(each)
+
+
 def simhash(own: Column) -> Column:
-    """64 bits: each the sign of the sum of the shingles' bits, every occurrence counting."""
+    """64 bits: each the sign of the sum of the shingles' bits."""
     bit = lambda b: F.aggregate(own, F.lit(0), lambda n, x: n + F.when(F.getbit(x, b) == 1, 1).otherwise(-1))
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda out, b: F.shiftleft(out, 1).bitwiseOR(F.when(bit(b) > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
 
@@ -59,11 +67,11 @@ def blocks(fingerprint: Column, radius: int = 0) -> Column:
 
 
 def items(benchmark: DataFrame, key: str = "item_id") -> DataFrame:
-    """item_id, n_words, gram (words in a shingle), own (its shingles)."""
+    """item_id, n_words, gram (words in a shingle), own (its shingles, sorted)."""
     hashed = benchmark.select(F.col(key).alias("item_id"), word_hashes(F.col("text")).alias("h")).where(F.size("h") > 0).distinct()
     gram = F.least(F.size("h"), F.lit(WORDS))
     own = reduce(lambda rest, k: F.when(gram == k, shingles(F.col("h"), k)).otherwise(rest), range(1, WORDS), shingles(F.col("h")))
-    return hashed.select("item_id", F.size("h").alias("n_words"), gram.alias("gram"), own.alias("own"))
+    return hashed.select("item_id", F.size("h").alias("n_words"), gram.alias("gram"), F.sort_array(own).alias("own"))
 
 
 def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
@@ -90,16 +98,17 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", percent:
     spans = windows.join(texts.select("row", word_hashes(F.col("text")).alias("h")), "row")
     laid = F.slice("h", F.col("start") + 1, F.col("n_words"))
     own = reduce(lambda rest, k: F.when(F.col("gram") == k, shingles(F.col("words"), k)).otherwise(rest), range(1, WORDS), shingles(F.col("words")))
-    spans = spans.select("row", "n_words", "gram", laid.alias("words")).select("row", "n_words", "gram", own.alias("own")).distinct()
+    spans = spans.select("row", "n_words", "gram", laid.alias("words")).select("row", "n_words", "gram", F.sort_array(own).alias("own")).distinct()
+    spans = materialize(spans.withColumn("own", numbered(F.col("own"))), "sets")
     spans = materialize(spans.withColumn("print", simhash(F.col("own"))), "fingerprints")
+    wanted = materialize(wanted.withColumn("own", numbered(F.col("own"))), "item-sets")
     marked = wanted.withColumn("print", simhash(F.col("own")))
     x = spans.select("row", "n_words", "own", "print", F.explode(blocks(F.col("print"))).alias("b")).select("row", "n_words", "own", "print", "b.*")
     y = marked.select("item_id", "n_words", F.col("own").alias("theirs"), F.col("print").alias("their_print"), F.explode(blocks(F.col("print"), radius)).alias("b")).select("item_id", "n_words", "theirs", "their_print", "b.*")
     y = maybe_broadcast(materialize(y, "item-blocks"))
     met = x.join(y, ["n_words", "block", "bits"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("their_print"))) <= radius)
     met = met.dropDuplicates(["row", "item_id", "own"])
-    times = lambda own, s: F.size(F.filter(own, lambda t: t == s))
-    both = F.aggregate(F.array_distinct("theirs"), F.lit(0), lambda n, s: n + F.least(times(F.col("own"), s), times(F.col("theirs"), s)))
+    both = F.size(F.array_intersect("own", "theirs"))
     either = F.size("own") + F.size("theirs") - both
     return met.where(100 * both >= percent * either).select("row", "item_id").distinct()
 
