@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
+from tidewell.sources import snapshots
 
 INDEX = ("chunks", "vectors", "idf", "meta")
 
@@ -59,13 +60,47 @@ def settings(rows: DataFrame) -> DataFrame:
 
 
 def write_index(tables: dict[str, DataFrame], to: str) -> None:
-    """An index's tables as Parquet below a folder; what was there is replaced."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{to}/{name}")
+    """An index's tables below a folder, all replaced together: a write that fails leaves what was there."""
+    snapshots.replace(tables, to)
 
 
 def read_index(spark: SparkSession, at: str, names: tuple[str, ...] = INDEX) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{at}/{name}") for name in names}
+    """The tables of the version that is the last one now; later writes do not change them."""
+    own = snapshots.latest(spark, at)
+    if own is None:
+        raise FileNotFoundError(f"no index at {at}")
+    return {name: own.table(name) for name in names}
+
+
+def save_knowledge(at: str, files: DataFrame, chunks: DataFrame, nicknames: DataFrame, meta: DataFrame | None = None) -> None:
+    """Replace what is known of a collection in one commit. files, chunks, nicknames: as the store's tables; meta: key, value, which adds to what is there."""
+    spark = files.sparkSession
+    before = snapshots.latest(spark, at)
+    old = before.table("meta") if before and "meta" in before.folders else spark.createDataFrame([], "key string, value string")
+    kept = old if meta is None else old.join(meta, "key", "left_anti").unionByName(meta.select("key", "value"))
+    each = nicknames.groupBy("filename", "nickname").agg(F.min("ord").alias("ord"))
+    snapshots.replace({"files": files, "chunks": chunks, "nicknames": each, "meta": kept}, at)
+
+
+def load_knowledge(spark: SparkSession, at: str) -> dict[str, DataFrame]:
+    """files; chunks with their place (chunk_order); nicknames as a list for each file, in order; meta."""
+    own = snapshots.latest(spark, at)
+    if own is None:
+        raise FileNotFoundError(f"no knowledge at {at}")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "nickname"))), lambda n: n["nickname"])
+    return {"files": own.table("files"), "chunks": own.table("chunks"), "nicknames": own.table("nicknames").groupBy("filename").agg(ordered.alias("nicknames")), "meta": own.table("meta")}
+
+
+def has_knowledge(spark: SparkSession, at: str) -> bool:
+    own = snapshots.latest(spark, at)
+    return own is not None and not own.table("files").isEmpty()
+
+
+def clear_knowledge(spark: SparkSession, at: str) -> None:
+    """Nothing is known any more; readers of earlier versions keep theirs."""
+    own = snapshots.latest(spark, at)
+    if own is not None:
+        snapshots.replace({name: df.limit(0) for name, df in own.tables().items()}, at)
 
 
 def write_pages(pages: DataFrame, to: str, full_width: bool = False) -> None:
