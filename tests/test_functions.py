@@ -1,6 +1,10 @@
 """Worked examples of the column expressions."""
 
+import html
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewell.functions import markup, rewrite, security, segment
@@ -124,3 +128,10 @@ def test_vectors(spark):
 def test_captions_and_skipped_sections(spark):
     page = "<h2>One</h2><p>Promotional image</p><p>The hero holding a roller</p><p>Prose that another line begins.</p><h2>Weapon freshness rewards</h2><p>no</p><h2>Super Smash Bros. Ultimate</h2><p>no</p><h2>Two</h2><li>2D icon</li>"
     assert [tuple(s) for s in value(spark, markup.sections(F.col("s")), s=page)] == [("One", "Prose that another line begins.")]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(st.sampled_from("&#;xX0123456789abcAltgmpnosqu ")) | st.sampled_from(["&amp;lt;", "&notit;", "&#x80;", "&#0;", "&#1114112;", "&NotEqualTilde;", "&hellip", "&#91;&#93;"]), min_size=1, max_size=8))
+def test_references(spark, texts):
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").select("i", markup.decoded(F.col("s")).alias("v")).collect()
+    assert {r["i"]: r["v"] for r in found} == {i: html.unescape(t) for i, t in enumerate(texts)}

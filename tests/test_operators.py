@@ -1,6 +1,7 @@
 """Worked examples and properties of the operators."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewell import schemas
 from tidewell.jobs import queries as q
 from tidewell.operators import dense, entities, incremental, index, reports, search, store
-from tidewell.sources import corpus
+from tidewell.sources import corpus, markdown
 from tidewell.streaming import updates
 
 SF = "/root/testdata/sf0.001"
@@ -152,8 +153,55 @@ def test_sources(spark, tmp_path):
     assert tuples(corpus.settings(rows.where("nth = 3"))) == [("K", "V=W")]
     corpus.write_index({"chunks": glossary}, str(tmp_path / "index"))
     assert corpus.read_index(spark, str(tmp_path / "index"), ("chunks",))["chunks"].count() == 2
-    corpus.write_pages(spark.createDataFrame([("a:b", "text")], "name string, text string"), str(tmp_path / "pages"))
-    assert (tmp_path / "pages" / "file=ab").is_dir()
+
+
+def test_markdown_files(spark, tmp_path):
+    to = tmp_path / "pages"
+    to.mkdir()
+    pages = spark.createDataFrame([("a:b", "one"), ("c?", None), ("", "no"), (None, "no"), (" d ", "vier é")], "name string, text string").repartition(3)
+    markdown.write_pages(pages, str(to))
+    markdown.write_pages(pages.where("name = 'a:b'").withColumn("text", F.lit("new")), str(to))
+    assert {p.name: p.read_text() for p in to.iterdir()} == {"ab.md": "new", "c.md": "", "d.md": "vier é"}
+    markdown.write_pages(pages.where("name = 'a:b'"), str(to), full_width=True)
+    before = {p.name for p in to.iterdir()}
+    assert "a：b.md" in before
+    dies = pages.withColumn("text", F.when(F.col("name") == " d ", F.raise_error(F.lit("lost"))).otherwise(F.lit("x"))).withColumn("name", F.concat("name", F.lit("2")))
+    with pytest.raises(Exception, match="lost"):
+        markdown.write_pages(dies, str(to))
+    assert {p.name for p in to.iterdir()} == before  # neither files nor the staging folder
+
+
+def test_families_in_ranges(spark):
+    rng = random.Random(2)
+    own = {"".join(rng.choice("aab") for _ in range(rng.randint(0, 6))) + rng.choice(["", " D", "MG", "D", "（x"]) for _ in range(300)}
+    wanted = {}
+    for name in sorted(own, key=lambda n: (len(n), n)):
+        bases = [b for b in wanted if wanted[b] == b and name.startswith(b) and (name[len(b)] in " （" or name[len(b) :] in entities.SUFFIXES)]
+        wanted[name] = min(bases, key=len, default=name)
+    found = {r["name"]: r["family"] for r in entities.families(spark.createDataFrame([(n,) for n in own], "name string")).collect()}
+    assert found == wanted and sum(k != v for k, v in found.items()) > 50
+
+
+def test_ranks_without_a_single_task(spark):
+    runs = spark.range(5000).selectExpr("id * 7919 % 1013 AS latency_ms", "id % 3 AS k")
+    values = sorted(r["latency_ms"] for r in runs.collect())
+    report = reports.latencies(runs)
+    row = report.first()
+    assert [row[k] for k in reports.POINTS] == [values[int(len(values) * p)] for p in reports.POINTS.values()]
+    ranks = reports.running(runs.groupBy("latency_ms").agg(F.count(F.lit(1)).alias("c")), "latency_ms", [])
+    assert "Exchange SinglePartition" not in ranks._jdf.queryExecution().executedPlan().toString()
+    for r in reports.latencies(runs, by=["k"]).collect():
+        own = sorted(x["latency_ms"] for x in runs.where(F.col("k") == r["k"]).collect())
+        assert [r[k] for k in reports.POINTS] == [own[int(len(own) * p)] for p in reports.POINTS.values()]
+
+
+def test_conversations(spark):
+    t = lambda n: dt.datetime(2024, 1, 1, n)
+    own = spark.createDataFrame([(1, "", t(1), t(1)), (2, "", t(2), t(2)), (3, "named", t(3), t(3))], "id long, title string, created_at timestamp, updated_at timestamp")
+    messages = spark.createDataFrame([(1, 7, "user", "second", t(9)), (1, 5, "user", "f" * 50, t(5)), (3, 6, "user", "x", t(4))], "conversation_id long, id long, role string, content string, created_at timestamp")
+    after = store.with_messages(own, messages)
+    assert [tuple(r)[:2] + (r["msg_count"],) for r in store.listed(after, messages).collect()] == [(1, "f" * 40, 2), (3, "named", 1), (2, "", 0)]
+    assert store.last_id(after).first()["id"] == 1 and store.last_id(after.limit(0)).first()["id"] is None
 
 
 def test_stream(spark, tmp_path):

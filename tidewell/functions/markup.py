@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,14 +45,37 @@ CAPTIONS = (
     r"^\( link to file \)$",
     r"^link to file$",
 )
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&#91;", "["), ("&#93;", "]"), ("&amp;", "&"))
+#: A character reference: decimal, hexadecimal or named, its semicolon optional.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def numbered(digits: Column, base: int) -> Column:
+    """The character of a numeric reference, as HTML has it: old Windows codes are translated, what is no character goes or becomes a mark."""
+    short = F.regexp_replace(digits, "^0+", "")
+    n = F.when(F.length(short) > 8, F.lit(1 << 40)).otherwise(F.conv(F.when(short == "", "0").otherwise(short), base, 10).cast("long"))
+    windows = F.array(*[F.lit(bytes([b]).decode("cp1252", "ignore") or chr(b)) for b in range(0x80, 0xA0)])
+    gone = n.between(1, 8) | n.between(14, 31) | (n == 11) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+    mark = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    own = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when(mark, "�").when(n.between(0x80, 0x9F), F.get(windows, (n - 0x80).cast("int"))).when(gone, "").otherwise(own)
 
 
 def decoded(text: Column) -> Column:
-    """The named entities above decoded, the ampersand last."""
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """All character references decoded in one pass: what they give is not read again. Names are those of HTML; one without its semicolon may be the start of a longer word."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")  # folded once
+
+    def one(reference: Column) -> Column:
+        own = F.substring(reference, 2, 40)
+        hexadecimal, decimal = F.regexp_extract(own, "^#[xX]([0-9a-fA-F]+)", 1), F.regexp_extract(own, "^#([0-9]+)", 1)
+        at = lambda x: F.try_element_at(names, F.left(own, x))
+        known = F.filter(F.sequence(F.length(own), F.least(F.length(own), F.lit(2)), F.lit(-1)), lambda x: at(x).isNotNull())
+        first = F.get(known, 0)
+        named = F.when(first.isNotNull(), F.concat(at(first), F.substring(own, first + 1, F.lit(40)))).otherwise(reference)
+        return F.when(hexadecimal != "", numbered(hexadecimal, 16)).when(decimal != "", numbered(decimal, 10)).otherwise(named)
+
+    references = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), one)
+    pieces = F.zip_with(F.split(text, REFERENCE), references, lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
 def spaced(text: Column) -> Column:

@@ -12,7 +12,8 @@ from tidewell.functions import text as X
 from tidewell.functions.vectors import unit
 from tidewell.jobs import answer, sql
 from tidewell.operators import dense, entities, incremental, index, reports, search, store
-from tidewell.session import settled, table
+from tidewell.session import new_path, settled, table
+from tidewell.sources import snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -423,6 +424,21 @@ def session_costs(spark, d):
     return spent.select("session_id", F.round(rewrite.cost(F.col("p"), F.col("c")), 9).alias("dollars"))
 
 
+@query(
+    """WITH c AS (SELECT user_id AS id, min(ts) AS created_at FROM events GROUP BY 1), m AS (SELECT id, turn, text, created_at + turn * INTERVAL 1 MINUTE AS sent FROM conversations JOIN c ON id = conv_id),
+    s AS (SELECT id, coalesce(left(arg_min(text, turn), 40), '') AS title, count(turn) AS msg_count, coalesce(max(sent), any_value(created_at)) AS updated_at FROM c LEFT JOIN m USING (id) GROUP BY 1)
+    SELECT id, title, msg_count, epoch_us(updated_at) AS updated_at FROM s ORDER BY s.updated_at DESC, id DESC LIMIT 200"""
+)
+def conversation_list(spark, d):
+    """Each user's conversation, opened with the first event, with or without messages; the last touched first."""
+    opened = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.min("ts").alias("created_at"))
+    opened = opened.select("id", F.lit("").alias("title"), "created_at", F.col("created_at").alias("updated_at"))
+    own = table(spark, d, "conversations").join(opened.select(F.col("id").alias("conv_id"), "created_at"), "conv_id")
+    own = own.select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("id"), F.col("text").alias("content"), (F.col("created_at") + F.make_dt_interval(mins=F.col("turn").cast("int"))).alias("created_at"))
+    found = store.listed(store.with_messages(opened, own), own, 200)
+    return found.select("id", "title", "msg_count", F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_at"))
+
+
 @query("""SELECT event_id AS id, '{"mode":"' || event_type || '","session_id":' || user_id || ',"error":' || (event_type = 'error')::VARCHAR || '}' AS line FROM events""")
 def log_lines(spark, d):
     own = logs(spark, d)
@@ -475,3 +491,21 @@ def incremental_diff(spark, d):
     """What changed between two listings of paths and times: users' views and clicks stand in for them."""
     listing = lambda kind: table(spark, d, "events").where(F.col("event_type") == kind).groupBy(F.col("user_id").alias("path")).agg(F.max("value").alias("mtime"))
     return incremental.changes(listing("view"), listing("click"))
+
+
+@query(
+    """WITH now AS (SELECT text FROM documents WHERE source <> 'src2'), d AS (SELECT regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS t, row_number() OVER () AS k FROM now),
+    w AS (SELECT k, t, unnest(range(0, length(t), 400)) AS pos FROM d WHERE length(t) > 500 UNION ALL SELECT k, t, 0 FROM d WHERE length(t) <= 500),
+    tok AS (SELECT DISTINCT k, pos, unnest(regexp_extract_all(lower(substr(t, pos + 1, 500)), '[\\p{L}\\p{N}_]+')) AS term FROM w WHERE length(substr(t, pos + 1, 500)) > 20)
+    SELECT term, count(*) AS df FROM tok GROUP BY 1"""
+)
+def index_write_back(spark, d):
+    """Document frequencies of an index that followed its files: built without src3 and with src5 cut short, then src3 came, src5 changed and src2 went."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "source", "text")
+    cut = F.when(F.col("source") == "src5", F.left("text", F.lit(60))).otherwise(F.col("text"))
+    old = docs.where("source != 'src3'").select("path", cut.alias("text"), F.lit(1.0).alias("mtime"))
+    new = docs.where("source != 'src2'").select("path", "text", F.when(F.col("source") == "src5", 2.0).otherwise(1.0).alias("mtime"))
+    at = new_path(spark, "index")
+    for state in (old, new):
+        incremental.write_back(spark, at, state.select("path", "mtime"), state.select("path", "text"))
+    return snapshots.latest(spark, at).table("df")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,24 +83,46 @@ def resolved(questions: DataFrame, names: DataFrame, reference: str | None = Non
 def families(names: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """name, family: a name joins the shortest earlier name that it continues with a space, a bracket or a known suffix, and that leads a family.
 
-    A base is found by equality with the name's own prefixes, so nothing is compared pair by pair. Each round settles the names whose
-    possible bases are all settled; chains of bases are as short as names are nested.
+    In sorted order the names that begin another stand before it, so one pass with a stack of them settles all. Names are dealt out in ranges; a range starts
+    with the names that begin its first one, which are looked up among all (no more than that name has characters).
     """
-    names = names.select("name").distinct()
-    cut = F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.left(F.col("name"), n))
-    rest = F.expr("substring(name, length(base) + 1)")
-    ok = (rest == "") | F.startswith(rest, F.lit(" ")) | F.startswith(rest, F.lit("（")) | rest.isin(*suffixes)
-    bases = names.select("name", F.explode(cut).alias("base")).where("base != name").where(ok).join(names.select(F.col("name").alias("base")), "base")
-    settled = names.join(bases, "name", "left_anti").select("name", F.col("name").alias("family"))
-    open_ = bases
-    while not open_.isEmpty():
-        leads = settled.where("name = family").select(F.col("name").alias("base"), F.lit(True).alias("leads"))
-        known = open_.join(leads, "base", "left").join(settled.select(F.col("name").alias("base"), F.lit(True).alias("known")), "base", "left")
-        each = known.groupBy("name").agg(F.min(F.when(F.col("leads"), F.struct(F.length("base").alias("n"), F.col("base")))).alias("lead"), F.min(F.coalesce("known", F.lit(False))).alias("all"))
-        now = each.where(F.col("all")).select("name", F.coalesce("lead.base", F.col("name")).alias("family"))
-        settled = settled.unionByName(now)
-        open_ = open_.join(now.select("name"), "name", "left_anti")
-    return settled
+    spark, allowed = names.sparkSession, frozenset(suffixes)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = settled(names.select("name").where("name IS NOT NULL").distinct().repartitionByRange(n, "name").withColumn("part", F.spark_partition_id()))
+    firsts = own.groupBy("part").agg(F.min("name").alias("first")).where("first != ''")
+    begins = firsts.select("part", F.explode(F.transform(F.sequence(F.lit(0), F.length("first") - 1), lambda k: F.left(F.col("first"), k))).alias("name"))
+    before: dict[int, list[str]] = {}
+    for r in begins.join(own.select("name"), "name").collect():
+        before.setdefault(r["part"], []).append(r["name"])
+    shared = spark.sparkContext.broadcast({part: sorted(own, key=len) for part, own in before.items()})
+
+    def settle(batches):
+        stack: list[tuple[str, bool]] = []  # names that begin the last one, and whether each leads a family
+
+        def family(name):
+            while stack and not name.startswith(stack[-1][0]):
+                stack.pop()
+            for base, leads in stack:
+                rest = name[len(base) :]
+                if leads and (rest[0] in " （" or rest in allowed):
+                    stack.append((name, False))
+                    return base
+            stack.append((name, True))
+            return name
+
+        part = None
+        for batch in batches:
+            found = []
+            for at, name in zip(batch.column("part").to_pylist(), batch.column("name").to_pylist(), strict=True):
+                if at != part:
+                    part = at
+                    stack.clear()
+                    for base in shared.value.get(at, []):
+                        family(base)
+                found.append(family(name))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(found, pa.string())], ["name", "family"])
+
+    return own.repartition(n, "part").sortWithinPartitions("part", "name").mapInArrow(settle, "name string, family string")
 
 
 def merged_aliases(own: DataFrame, table: DataFrame, titles: DataFrame) -> DataFrame:

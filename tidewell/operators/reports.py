@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.session import settled
+
 POINTS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
-def latencies(runs: DataFrame, value: str = "latency_ms", by: list[str] | None = None, points: dict[str, float] = POINTS) -> DataFrame:
-    """n, min, the points, max and the integer mean, of each group.
+def running(counts: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """counts (by, value, c) with upto: how many values of the group are no larger. No group is sorted in one task.
 
-    Values are counted first, and ranks are running sums over distinct values, so a group of any size costs its distinct values.
+    Values are dealt out in ranges; sums run inside each range of a group, and each range starts with the total of those before it.
     """
-    from pyspark.sql import Window
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = settled(counts.repartitionByRange(n, *by, value).withColumn("part", F.spark_partition_id()))
+    totals = own.groupBy(*by, "part").agg(F.sum("c").alias("c"))
+    inside = own.withColumn("upto", F.sum("c").over(Window.partitionBy(*by, "part").orderBy(value)))
+    if by:
+        before = F.sum("c").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+        starts = totals.select(*by, "part", F.coalesce(before, F.lit(0)).alias("before"))
+    else:
+        at, rows = 0, []
+        for r in sorted(totals.collect()):  # a row for each range
+            rows.append((r["part"], at))
+            at += r["c"]
+        starts = F.broadcast(own.sparkSession.createDataFrame(rows, "part int, before long"))
+    return inside.join(starts, [*by, "part"]).withColumn("upto", F.col("upto") + F.col("before")).drop("part", "before")
 
+
+def latencies(runs: DataFrame, value: str = "latency_ms", by: list[str] | None = None, points: dict[str, float] = POINTS) -> DataFrame:
+    """n, min, the points, max and the integer mean, of each group. Values are counted first, so a group of any size costs its distinct values."""
     by = by or []
-    counts = runs.groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(value)
-    run = counts.withColumn("upto", F.sum("c").over(w))
+    run = running(runs.groupBy(*by, value).agg(F.count(F.lit(1)).alias("c")), value, by)
     total = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.floor(F.sum(value) / F.count(F.lit(1))).cast("long").alias("avg"))
-    both = run.join(F.broadcast(total.select(*by, "n")), by) if by else run.crossJoin(F.broadcast(total.select("n")))
+    both = run.join(total.select(*by, "n"), by) if by else run.crossJoin(F.broadcast(total.select("n")))  # one row
     at = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
     picked = both.groupBy(*by).agg(*[F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(k) for k, p in points.items()])
     out = total.join(picked, by) if by else total.crossJoin(picked)

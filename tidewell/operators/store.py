@@ -49,6 +49,25 @@ def conversations(messages: DataFrame, characters: int = 40) -> DataFrame:
     return messages.groupBy("conversation_id").agg(F.left(F.min_by("content", "id"), F.lit(characters)).alias("title"), F.count(F.lit(1)).alias("msg_count"), F.max("id").alias("last_id"))
 
 
+def with_messages(conversations_: DataFrame, messages: DataFrame, characters: int = 40) -> DataFrame:
+    """The conversations table (id, title, created_at, updated_at) after messages were added: each touches its conversation, and the first names one without a title."""
+    new = messages.groupBy(F.col("conversation_id").alias("id")).agg(F.max("created_at").alias("_last"), F.left(F.min_by("content", "id"), F.lit(characters)).alias("_first"))
+    title = F.when(F.col("title") == "", F.coalesce("_first", "title")).otherwise(F.col("title"))
+    return conversations_.join(new, "id", "left").select("id", title.alias("title"), "created_at", F.greatest("updated_at", "_last").alias("updated_at"))
+
+
+def listed(conversations_: DataFrame, messages: DataFrame, n: int = 10) -> DataFrame:
+    """The n conversations that were touched last, each with the number of its messages, which may be none."""
+    counts = messages.groupBy(F.col("conversation_id").alias("id")).agg(F.count(F.lit(1)).alias("msg_count"))
+    each = conversations_.orderBy(F.desc("updated_at"), F.desc("id")).limit(n).join(counts, "id", "left")
+    return each.withColumn("msg_count", F.coalesce("msg_count", F.lit(0))).orderBy(F.desc("updated_at"), F.desc("id"))
+
+
+def last_id(conversations_: DataFrame) -> DataFrame:
+    """id of the conversation that was touched last, in one row (null if there is none)."""
+    return conversations_.agg(F.max_by("id", F.struct("updated_at", "id")).alias("id"))
+
+
 def recent(table: DataFrame, n: int, *order) -> DataFrame:
     return table.orderBy(*order).limit(n)
 

@@ -101,8 +101,3 @@ def clear_knowledge(spark: SparkSession, at: str) -> None:
     own = snapshots.latest(spark, at)
     if own is not None:
         snapshots.replace({name: df.limit(0) for name, df in own.tables().items()}, at)
-
-
-def write_pages(pages: DataFrame, to: str, full_width: bool = False) -> None:
-    """Markdown documents (name, text) partitioned by their file name."""
-    pages.select(X.file_name(F.col("name"), full_width).alias("file"), F.col("text").alias("value")).write.mode("overwrite").partitionBy("file").text(to)
