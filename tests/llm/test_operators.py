@@ -301,6 +301,28 @@ def page(i, article, notice="Read our terms of use first."):
     return f"<html><head><title>t</title></head><body><nav><a>Menu {i}</a></nav><div><p>{notice}</p></div><div><h1>Head {i}</h1>{article}</div><footer>f</footer></body></html>"
 
 
+def test_names_alone_delete_nothing():
+    kept = ['<div class="post search-engines">x</div>', '<section class="related-work">x</section>', '<div class="hidden-gems">x</div>', '<article><p class="social">x</p></article>', '<div class="advertising-history">x</div>']
+    gone = ['<div class="ad">x</div>', '<div class="site-header">x</div>', '<ul id="nav_menu"><li>x</ul>', '<div role="navigation">x</div>', "a<!-- x", "<p>a<!-- <b>x</p>"]
+    texts = lambda h: [t for t, *_ in html_extract.text_blocks(html_extract.parse(h))]
+    assert [texts(h) for h in kept] == [["x"]] * len(kept)
+    assert all("x" not in " ".join(texts(h)) for h in gone)
+
+
+def test_long_lists_of_siblings_match_in_bounded_memory():
+    import time
+    import tracemalloc
+
+    page = "<div>" + "".join(f"<h3>h{i}</h3><ul><li>a<li>b</ul><p>p{i}</p>" for i in range(3_300)) + "</div>"
+    shape = html_extract.Shape("html", [html_extract.parse(page)])
+    other = html_extract.Shape("html", [html_extract.parse(page.replace("<h3>h7</h3>", ""))])
+    tracemalloc.start()
+    began, pairs = time.time(), {}
+    assert html_extract.match(shape, other, pairs) >= shape.size - 2
+    assert time.time() - began < 60 and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
 def test_wrapper_induction(spark):
     rows = [(i, f"https://one.example.org/{i}", page(i, f"<p>Body {i} &amp; more<p>second\n line {i}<br>x")) for i in range(8)]
     rows += [(20, "https://two.example.org/", page(20, "<p>alone</p>")), (21, None, None), (22, "nonsense", ""), (0, "https://one.example.org/0", rows[0][2])]

@@ -11,7 +11,8 @@
 4. The wrapper is the host's set of constant (slot, hash) pairs, at most 1 / SHARE for each block of a page.
 
 Elements that are boilerplate by their meaning (menus, headers, footers, sidebars, notices, adverts, forms,
-comments, scripts) never are content, however they vary. Pages of a host that has too few pages for a wrapper are read by meaning
+comments, scripts: by tag or role, and divisions whose whole class or id names one of these) never are content, however they vary. A comment left open reaches
+to the page's end. Matching keeps two rows of weights and two bits for each pair of siblings, and trees of equal structure are weighed once, so long lists stay cheap. Pages of a host that has too few pages for a wrapper are read by meaning
 alone: only there, if a page marks its article, nothing else of it is content.
 
 Null html counts as empty; an empty or markup-only page has empty text. Repeated rows are pages of their own. A null or
@@ -46,9 +47,11 @@ DROPPED = frozenset("script style noscript template iframe object embed canvas s
 CLOSES_P = BLOCKS - frozenset(["body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "dd", "dt", "li"])
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
-# Words of class, id and role that mark boilerplate.
-MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu|breadcrumbs?|header|footer|masthead|sidebar|side-bar|widget|cookies?|consent|notice|newsletter|subscribe|popup|modal|share|social|related|recommended|comments?|disqus|replies|login|signup|search|copyright|legal|complementary|contentinfo|navigation|hidden)(?:$|[\s_-])", re.I)
-CONTENT = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story)(?:$|[\s_-])", re.I)
+# Words that say of an element of no meaning that it is boilerplate, if its class or id is made of nothing else but words of place; and roles that do.
+MARKS = frozenset("ad ads advert adverts advertisement banner promo sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs header footer masthead sidebar widget widgets cookie cookies consent notice newsletter subscribe popup modal share sharing social related recommended comment comments disqus replies login signup search copyright legal hidden".split())
+PLACES = frozenset("site page main top left right bottom global primary secondary bar box block wrapper container section inner list links area side".split())
+ROLES = frozenset("banner complementary contentinfo navigation search".split())
+PLAIN = frozenset("div section span ul ol dl table".split())
 SPACES = re.compile(r"[\s\x1c-\x1f]+")
 
 
@@ -59,6 +62,19 @@ class Node:
         self.tag, self.children, self.drop, self.article = tag, [], drop, article  # children: nodes and strings, in order
 
 
+def marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether an element's role, or a whole class or id of it, names boilerplate. One word of a longer name (related-work) does not, nor any on a paragraph or heading."""
+    for key, value in attrs:
+        if key == "role" and value and value.lower() in ROLES:
+            return True
+        if key in ("class", "id") and value and tag in PLAIN:
+            for name in value.lower().split():
+                parts = set(re.split(r"[-_]+", name)) - {""}
+                if parts & MARKS and parts <= MARKS | PLACES:
+                    return True
+    return False
+
+
 class Builder(HTMLParser):
     """A tree of block elements; inline elements leave their text in the block. Unclosed blocks are closed as HTML says."""
 
@@ -77,8 +93,7 @@ class Builder(HTMLParser):
             self.stack[-1].children.append(" ")
             return
         if tag not in BLOCKS and tag not in DROPPED:
-            marks = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-            if tag not in VOID and marks and MARKED.search(marks):
+            if tag not in VOID and marked(tag, attrs):
                 self.skipped.append(tag)
             return
         self.skipped.clear()
@@ -86,10 +101,9 @@ class Builder(HTMLParser):
             self._close(("p",), ("article", "section", "div", "td", "th", "li", "main", "blockquote", "table", "button"))
         if tag in SAME:
             self._close(SAME[tag], SCOPE[tag])
-        marks = " ".join(v for k, v in attrs if k in ("class", "id", "role", "aria-label") and v)
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
         own = tag in ("article", "main") or any(k == "role" and v in ("main", "article") for k, v in attrs)
-        drop = tag in DROPPED and not (tag == "header" and self._inside("article", "main")) or hidden or bool(marks and not own and MARKED.search(marks))
+        drop = tag in DROPPED and not (tag == "header" and self._inside("article", "main")) or hidden or (not own and marked(tag, attrs))
         node = Node(tag, drop, own or any(k == "itemprop" and v == "articleBody" for k, v in attrs))
         self.stack[-1].children.append(node)
         if tag not in VOID:
@@ -124,6 +138,11 @@ class Builder(HTMLParser):
         """What begins with '<![' is a comment up to its '>', as HTML says; the base class fails on an unknown word there."""
         return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
 
+    def parse_comment(self, i, report=1):
+        """A comment that is never closed reaches to the page's end, as HTML says."""
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 else end
+
     def handle_data(self, data):
         if not self.skipped:
             self.stack[-1].children.append(data)
@@ -186,7 +205,7 @@ def runs(node: Node) -> list[tuple[str, list[Node]]]:
 class Shape:
     """A tree in which each run of siblings of one tag is one node, with the union of their children's runs: equal are the n-th runs of a tag."""
 
-    __slots__ = ("tag", "parts", "size", "slot")
+    __slots__ = ("tag", "parts", "size", "slot", "key")
 
     def __init__(self, tag: str, nodes: list[Node], slot: str = "", depth: int = 0):
         self.tag, self.slot, self.parts = tag, slot, []
@@ -198,34 +217,63 @@ class Shape:
                     merged.setdefault((t, number[t]), []).extend(own)
                     number[t] += 1
             self.parts = [Shape(t, own, f"{slot}/{t}.{i}", depth + 1) for (t, i), own in merged.items()]
+        self.sum_up()
+
+    def sum_up(self) -> None:
+        """size, and key: equal for trees of equal structure."""
         self.size = 1 + sum(p.size for p in self.parts)
+        self.key = xxhash.xxh64_intdigest(" ".join([self.tag, *(str(p.key) for p in self.parts)]))
 
 
-def match(a: Shape, b: Shape, pairs: dict[str, str]) -> int:
-    """Simple tree matching: the largest number of nodes of a and b that match in order; pairs gets a's slot: b's slot."""
+def weight(a: Shape, b: Shape, known: dict[tuple[int, int], int]) -> int:
+    """Simple tree matching: the largest number of nodes of a and b that match in order. known: weights of trees by their structure, of which a page repeats few."""
     if a.tag != b.tag:
         return 0
-    m, n = len(a.parts), len(b.parts)
-    best = np.zeros((m + 1, n + 1), int)
-    inner: dict[tuple[int, int], tuple[int, dict[str, str]]] = {}
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            own: dict[str, str] = {}
-            w = match(a.parts[i - 1], b.parts[j - 1], own) if a.parts[i - 1].tag == b.parts[j - 1].tag else 0
-            inner[i, j] = w, own
-            best[i, j] = max(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + w)
-    i, j = m, n
-    while i and j:
-        w, own = inner[i, j]
-        if w and best[i, j] == best[i - 1, j - 1] + w:
-            pairs |= own
+    if not a.parts or not b.parts:
+        return 1
+    if (a.key, b.key) not in known:
+        known[a.key, b.key] = 1 + in_order(a.parts, b.parts, known)[0]
+    return known[a.key, b.key]
+
+
+def in_order(a: list[Shape], b: list[Shape], known: dict[tuple[int, int], int], paired: bool = False) -> tuple[int, list[tuple[int, int]]]:
+    """Largest weight of pairs of a and b in order, and if asked these pairs. Two rows of weights and two bits for each cell are kept."""
+    kinds = [{s.key: s for s in side} for side in (a, b)]
+    each = np.array([[weight(x, y, known) for y in kinds[1].values()] for x in kinds[0].values()])
+    own, other = (np.array([{k: i for i, k in enumerate(kind)}[s.key] for s in side]) for kind, side in zip(kinds, (a, b), strict=True))
+    row, takes, ups = np.zeros(len(b) + 1, np.int64), [], []
+    for i in own.tolist():
+        w = each[i][other]
+        across = row[:-1] + w
+        new = np.zeros(len(b) + 1, np.int64)
+        np.maximum.accumulate(np.maximum(row[1:], across), out=new[1:])
+        if paired:
+            takes.append(np.packbits((w > 0) & (new[1:] == across)))
+            ups.append(np.packbits(new[1:] == row[1:]))
+        row = new
+    pairs, i, j = [], len(a), len(b)
+    while paired and i and j:
+        at, bit = (j - 1) >> 3, 0x80 >> ((j - 1) & 7)
+        if takes[i - 1][at] & bit:
             i, j = i - 1, j - 1
-        elif best[i, j] == best[i - 1, j]:
+            pairs.append((i, j))
+        elif ups[i - 1][at] & bit:
             i -= 1
         else:
             j -= 1
+    return int(row[-1]), pairs
+
+
+def match(a: Shape, b: Shape, pairs: dict[str, str], known: dict[tuple[int, int], int] | None = None) -> int:
+    """`weight`; pairs gets a's slot: b's slot of a best matching."""
+    known = {} if known is None else known
+    if a.tag != b.tag:
+        return 0
     pairs[a.slot] = b.slot
-    return 1 + int(best[m, n])
+    if a.parts and b.parts:
+        for i, j in in_order(a.parts, b.parts, known, True)[1]:
+            match(a.parts[i], b.parts[j], pairs, known)
+    return weight(a, b, known)
 
 
 def aligned(root: Node, pivot: Shape | None) -> list[tuple[str, str | None, str, bool]]:
@@ -243,7 +291,7 @@ def dump(shape: Shape) -> list:
 def load(tree: list, slot: str = "") -> Shape:
     shape = Shape(tree[0], [], slot)
     shape.parts = [load(p, f"{slot}/{p[0]}{i}") for i, p in enumerate(tree[1])]
-    shape.size = 1 + sum(p.size for p in shape.parts)
+    shape.sum_up()
     return shape
 
 
