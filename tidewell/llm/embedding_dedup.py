@@ -9,7 +9,7 @@ The code is cut into disjoint blocks, each a Hamming table. Every vector is file
 values within ``PROBED`` bits of its own. So every pair of which some block differs in no more bits than that is a candidate: all
 pairs whose codes are within blocks * (PROBED + 1) - 1 bits are, and others as it happens. The width of a block follows the number of
 vectors, so that tables stay sparse; the number of blocks is what the sample needs, with neighbours made at the threshold itself, to miss
-no more than ``MISSED`` of them. Candidates are reranked by the cosine of the original vectors in double precision, so no link is below
+no more than ``MISSED`` of them. Blocks go in rounds, so that the asks that are shuffled at a time stay in proportion to the vectors however many blocks it takes. Candidates are reranked by the cosine of the original vectors in double precision, so no link is below
 the threshold.
 
 Vectors of different lengths are never compared; each length has an index of its own, for which a sample of its own is
@@ -22,6 +22,7 @@ Rows that repeat an id are vectors of their own; a null id never names a compone
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -38,6 +39,8 @@ COSINE = 0.9
 SAMPLE = 4_000
 MISSED = 0.01
 ROUNDS, LEAST_WIDTH, PROBED = 30, 12, 1
+#: Bytes of asks of a round of blocks, times the vectors' bytes.
+ASKED = 1
 #: Blocks beyond which centring is given up.
 MOST = 128
 SEED = 20240229
@@ -90,10 +93,14 @@ class Index:
         own = (x - self.centre) @ self.rotations[:, : self.blocks * self.width] >= 0
         return own.reshape(len(x), self.blocks, self.width)
 
-    def files(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the values that each vector has in each block, and of those that it asks for: its own and all within PROBED bits."""
-        bits = self.bits(x)
-        block = mix(np.arange(1000, 1000 + self.blocks) + (x.shape[1] << 20))
+    def rounds(self) -> int:
+        """In how many rounds the blocks go, so that what a round asks for is no larger than ASKED times the vectors."""
+        return min(self.blocks, max(1, math.ceil(self.blocks * (self.width + 1) * 16 / (ASKED * 8 * len(self.centre)))))
+
+    def files(self, x: np.ndarray, part: int = 0, of: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the values that each vector has in each block, and of those that it asks for: its own and all within PROBED bits. part, of: every of-th block."""
+        bits = self.bits(x)[:, part::of]
+        block = mix(np.arange(1000, 1000 + self.blocks) + (x.shape[1] << 20))[part::of]
         value = (bits * self.weights).sum(axis=2, dtype=np.uint64)
         change = np.where(bits, np.uint64(0) - self.weights, self.weights)  # what a flipped bit adds to the value
         asked = [value[:, :, None]]
@@ -144,16 +151,16 @@ def near(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", cos
         indexes[r["size"]] = Index.best(unit(matrix(sample.column(0))), r["count"], cosine, missed)
     shared_indexes = spark.sparkContext.broadcast(indexes)
 
-    def filed(ask: bool):
+    def filed(ask: bool, part: int, of: int):
         def rows(batches):
             for batch in batches:
                 sizes = batch.column("size").to_numpy()
                 for size in np.unique(sizes).tolist():
                     if size in shared_indexes.value:
-                        part = batch.filter(pa.array(sizes == size))
-                        for lo in range(0, part.num_rows, 256):
-                            some = part.slice(lo, 256)
-                            found = shared_indexes.value[size].files(unit(matrix(some.column("vector"))))[ask]
+                        own = batch.filter(pa.array(sizes == size))
+                        for lo in range(0, own.num_rows, 256):
+                            some = own.slice(lo, 256)
+                            found = shared_indexes.value[size].files(unit(matrix(some.column("vector"))), part, of)[ask]
                             yield pa.RecordBatch.from_pydict({"node": pa.array(np.repeat(some.column("node").to_numpy(), found.shape[1])), "bucket": pa.array(found.reshape(-1))})
 
         return each.select("node", "size", "vector").mapInArrow(tidied(rows), "node long, bucket long")
@@ -166,13 +173,18 @@ def near(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", cos
                 keep = (unit(matrix(part.column("x"))) * unit(matrix(part.column("y")))).sum(axis=1) >= cosine
                 yield part.select(["a", "b"]).filter(pa.array(keep))
 
-    tables = materialize(filed(False), "tables")
-    pairs = filed(True).select(F.col("node").alias("a"), "bucket").join(tables.select(F.col("node").alias("b"), "bucket"), "bucket").where("a < b").select("a", "b").distinct()
-    pairs = materialize(pairs, "pairs")
+    # blocks go in rounds, each of which leaves nothing but the pairs that it found
+    of, some = max((index.rounds() for index in indexes.values()), default=1), []
+    for part in range(of):
+        tables = materialize(filed(False, part, of), "tables")
+        met = filed(True, part, of).select(F.col("node").alias("a"), "bucket").join(tables.select(F.col("node").alias("b"), "bucket"), "bucket").where("a < b").select("a", "b").distinct()
+        some.append(materialize(met, "pairs"))
+        discard(tables)
+    pairs = some[0] if of == 1 else materialize(reduce(DataFrame.union, some).distinct(), "pairs")
     size = each.select("node", "size", "vector")
     both = pairs.join(size.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("vector").alias("x")), "a").join(size.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("vector").alias("y")), "b")
     links = materialize(both.where("m = n").select("a", "b", "m", "x", "y").mapInArrow(tidied(similar), "a long, b long"), "links")
-    discard(tables, pairs)
+    discard(pairs, *some)
     copies = each.select("node", "label", "copies")
     ways = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counted = ways.join(copies.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
