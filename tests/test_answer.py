@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import records
+from tidewell.functions import text as X
 from tidewell.jobs import answer
 
 
@@ -46,8 +47,21 @@ def test_single(spark, chunks):
 
 
 def test_records(spark):
-    raw = json.dumps({"name": "A", "contents": [{"id": 2, "items": [{"label": "x", "value": "1"}, {"label": "y", "value": ""}]}], "siblings": [{"name": "A"}, {"name": "B"}]})
-    row = spark.createDataFrame([(raw,), ("broken",)], "j string").select(records.parsed(F.col("j")).alias("r")).select(records.attributes(F.col("r"), 2), records.siblings(F.col("r"))).collect()
-    assert [tuple(x) for x in row] == [("+ x：1", "B"), ("", "")]
+    facts = [{"title": "简中名", "content": "甲"}, {"title": "俗称", "content": "小甲、甲甲"}, {"title": "次要武器", "content": {"id": 3, "name": "乙"}}, {"title": "同源武器", "type": "picList", "content": [{"id": 7, "name": "甲"}, {"id": 8, "name": "丙"}, {"id": 9, "name": ""}]}]
+    facts += [{"title": "版本", "content": [{"id": 11, "name": "x"}, "12"]}, {"title": "解锁等级", "content": 4}, {"title": "武器重量", "content": None}, {"title": "别的", "content": "no"}, {"title": "英文名", "content": ["A", {"name": "B"}]}]
+    modes = {"满蓄力": {"伤害": [{"key_zh": "高", "value": 9}], "射程": [{"key_zh": "远", "value": "2.5"}]}, "共通": {"伤害": [{"key_zh": "低", "value": "1"}]}, "note": "no mode"}
+    contents = [{"id": 1, "content": "<p>一<br/>二</p>"}, {"id": 2, "content": facts}, {"id": 3, "content": [{"name": "射程", "ratio": 60}]}, {"id": 4, "content": modes}]
+    raw = json.dumps({"status": True, "data": {"name": "主武器详情：甲 ", "contents": contents}}, ensure_ascii=False)
+    df = spark.createDataFrame([(raw,), ("broken",), ('{"status": false}',)], "j string").select(records.page(records.parsed(F.col("j")), F.lit("7"), F.lit("u")).alias("p"))
+    found = [r["p"] for r in df.collect()]
+    head = ["# 甲 - 武器详情（Ver.9.3.0）", "来源：[u](u)", "", "", "## 简介", "一二", "## 主武器基础信息"]
+    info = ["+ 简中名：甲", "+ 繁中名：", "+ 日文名：", "+ 英文名：A, B", "+ 俗称：小甲、甲甲", "+ 次要武器：乙", "+ 特殊武器：", "+ 特殊武器点数：", "+ 解锁等级：4", "+ 武器重量：", "+ 同源武器：丙", "+ 版本：11, 12"]
+    rest = ["", "---", "", "## 主武器基础数据", "+ 射程：60", "", "---", "", "## 主武器性能数据（Ver.9.3.0）", "### 满蓄力", "+ 远：2.5", "+ 高：9", "", "### 伤害", "+ 低：1", ""]
+    assert found == ["\n".join(head + info + rest), None, None]
+    back = df.where("p IS NOT NULL").select(X.title(F.col("p"), F.lit("stem")).alias("t"), X.aliases(F.col("p")).alias("a")).first()  # the page reads back as a document
+    assert (back["t"], back["a"]) == ("甲", ["小甲", "甲甲"])
+
+
+def test_in_order(spark):
     lines = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(m).alias("mode"), F.lit(t).alias("line")) for c, m, t in [("b", "m1", "2"), ("a", "m1", "1"), ("z", "m1", "no"), ("a", "m2", "3")]])
     assert spark.range(1).select(records.in_order(lines, ("a", "b"))).first()[0] == "### m1\n\n1\n2\n\n### m2\n\n3"
