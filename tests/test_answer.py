@@ -65,3 +65,30 @@ def test_records(spark):
 def test_in_order(spark):
     lines = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(m).alias("mode"), F.lit(t).alias("line")) for c, m, t in [("b", "m1", "2"), ("a", "m1", "1"), ("z", "m1", "no"), ("a", "m2", "3")]])
     assert spark.range(1).select(records.in_order(lines, ("a", "b"))).first()[0] == "### m1\n\n1\n2\n\n### m2\n\n3"
+
+
+def test_follow_ups(spark):
+    messages = spark.createDataFrame([(1, 1, "user", "what of alpha?"), (2, 1, "user", "fails")], "conversation_id long, id long, role string, content string")
+    questions = spark.createDataFrame([(0, 1, "and beta?"), (1, 9, "alone"), (2, 1, "nothing")], "qid long, conversation_id long, question string")
+
+    def model(prompts):
+        assert all("User: " in p for p in prompts)
+        return ['"alpha and beta"' if "and beta?" in p else "  " for p in prompts]
+
+    def fails(prompts):
+        raise RuntimeError("down")
+
+    of = lambda m: {r["qid"]: r["query"] for r in answer.followed(questions, messages, m).collect()}
+    assert of(model) == {0: "alpha and beta", 1: "alone", 2: "nothing"} and of(fails) == {0: "and beta?", 1: "alone", 2: "nothing"}
+
+
+def test_dense_side(spark, chunks):
+    vectors = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.0, 1.0]), (3, 0, [0.6, 0.8]), (3, 1, [-1.0, 0.0]), (4, 0, [0.0, 0.0])], "doc_id long, chunk_order int, embedding array<double>")
+    encode = lambda texts: [[0.0, 1.0] if t == "alpha" else None for t in texts]
+    questions = spark.createDataFrame([(0, "alpha"), (1, "gamma")], "qid long, question string")
+    found = lambda weight: {q: [(r["doc_id"], r["score"]) for r in rows] for q, rows in by(answer.retrieved(questions, chunks, 14, 2, dense=answer.Dense(vectors, encode, weight)))}
+    by = lambda df: [(q, df.where(F.col("qid") == q).orderBy("rank").collect()) for q in (0, 1)]
+    assert found(0.5) == {0: [(1, 0.5), (2, 0.5), (3, 0.4)], 1: [(3, 0.5), (4, 0.5)]}
+    assert found(1.0)[0] == [(2, 1.0), (3, 0.8)] and found(0.0)[0] == [(1, 1.0)]
+    rounds = answer.in_rounds(questions, chunks, lambda prompts: ["done" for _ in prompts], dense=answer.Dense(vectors, encode))
+    assert {r["qid"]: r["rounds"] for r in rounds.collect()} == {0: 1, 1: 1}
