@@ -87,6 +87,7 @@ def test_merged_aliases(spark):
     table = spark.createDataFrame([("T", 0, "a"), ("T", 1, "b"), ("U", 0, "c")], "official string, ord int, nick string")
     titles = spark.createDataFrame([("f", "T")], "name string, title string")
     assert tuples(entities.merged_aliases(own, table, titles).select("nick", "status")) == [("a", "kept"), ("b", "merged")]
+    assert tuples(entities.merge_report(own, table, titles)) == [("T", "f", "merged", 1), ("U", "", "skipped", 0)]
 
 
 def test_expand_keeps_one_familys_figures(spark):

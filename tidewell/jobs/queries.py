@@ -360,6 +360,35 @@ def variant_families(spark, d):
     return entities.families(table(spark, d, "documents").select(F.col("source").alias("name")), tuple("0123456789"))
 
 
+@query(
+    f"""WITH {ENTRIES}, given AS (SELECT coalesce(title, n_name) AS official, p_brand AS nick FROM nation JOIN part ON p_partkey % 25 = n_nationkey LEFT JOIN titles ON name = 'src' || n_nationkey UNION SELECT title, term FROM titles JOIN names USING (name) WHERE ord > 0 AND length(term) > 6),
+    f AS (SELECT title, max(name) AS name FROM titles GROUP BY 1)
+    SELECT official, coalesce(f.name, '') AS name, CASE WHEN f.name IS NULL THEN 'skipped' ELSE 'merged' END AS status,
+      count(*) FILTER (WHERE f.name IS NOT NULL AND (f.name, nick) NOT IN (SELECT (name, term) FROM names WHERE ord > 0)) AS n_new FROM given LEFT JOIN f ON title = official GROUP BY 1, 2, 3"""
+)
+def alias_merge(spark, d):
+    """A table of aliases (brands of parts by nation, and long first words that are known already) merged into the entries; officials without an entry are skipped."""
+    own = settled(entries(spark, d))
+    titles = own.where("ord = 0").select("name", F.col("term").alias("title"))
+    known = own.where("ord > 0").select("name", "ord", F.col("term").alias("nick"))
+    nation = table(spark, d, "nation").join(titles, F.col("name") == F.concat(F.lit("src"), F.col("n_nationkey")), "left")
+    brands = nation.join(table(spark, d, "part"), F.col("p_partkey") % 25 == F.col("n_nationkey")).select(F.coalesce("title", "n_name").alias("official"), F.col("p_brand").alias("nick"))
+    words = known.join(titles, "name").where("length(nick) > 6").select(F.col("title").alias("official"), "nick")
+    given = brands.unionByName(words).withColumn("ord", F.lit(0))
+    return entities.merge_report(known, given, titles)
+
+
+@query(f"WITH {sql.CHUNKS} SELECT count(DISTINCT doc_id) AS files, count(*) AS chunks FROM chunks")
+def health_counts(spark, d):
+    return chunks(spark, d).agg(F.count_distinct("doc_id").alias("files"), F.count(F.lit(1)).alias("chunks"))
+
+
+@query("WITH s AS (SELECT DISTINCT source AS name FROM documents), f AS (SELECT coalesce((SELECT min(b.name) FROM s b WHERE length(s.name) = length(b.name) + 1 AND starts_with(s.name, b.name)), s.name) AS family FROM s) SELECT count(*) AS names, count(DISTINCT family) AS families FROM f")
+def family_counts(spark, d):
+    found = entities.families(table(spark, d, "documents").select(F.col("source").alias("name")), tuple("0123456789"))
+    return found.agg(F.count(F.lit(1)).alias("names"), F.count_distinct("family").alias("families"))
+
+
 # The operational store: conversations are messages, events are the query log
 
 

@@ -125,10 +125,24 @@ def families(names: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFram
     return own.repartition(n, "part").sortWithinPartitions("part", "name").mapInArrow(settle, "name string, family string")
 
 
+def titled(titles: DataFrame) -> DataFrame:
+    """name, official: of several names with one title the last."""
+    return titles.groupBy(F.col("title").alias("official")).agg(F.max("name").alias("name"))
+
+
 def merged_aliases(own: DataFrame, table: DataFrame, titles: DataFrame) -> DataFrame:
     """own (name, ord, nick) with the table's aliases (official, ord, nick) of names that have that title, new ones behind. Adds status: kept, merged."""
-    named = table.join(titles.select("name", F.col("title").alias("official")), "official").select("name", "ord", "nick")
+    named = table.join(titled(titles), "official").select("name", "ord", "nick")
     new = named.join(own.select("name", "nick"), ["name", "nick"], "left_anti").groupBy("name", "nick").agg(F.min("ord").alias("ord"))
     last = own.groupBy("name").agg(F.max("ord").alias("last"))
     new = new.join(last, "name", "left").select("name", (F.col("ord") + 1 + F.coalesce("last", F.lit(0))).alias("ord"), "nick", F.lit("merged").alias("status"))
     return own.select("name", "ord", "nick", F.lit("kept").alias("status")).unionByName(new)
+
+
+def merge_report(own: DataFrame, table: DataFrame, titles: DataFrame) -> DataFrame:
+    """official, name (empty: none has that title), status (merged, skipped) and n_new, how many of its aliases are new to the name."""
+    each = table.select("official", "nick").distinct().join(titled(titles), "official", "left")
+    each = each.join(own.select("name", "nick", F.lit(True).alias("known")).distinct(), ["name", "nick"], "left")
+    new = F.col("name").isNotNull() & F.col("known").isNull()
+    counted = each.groupBy("official", "name").agg(F.count_if(new).alias("n_new"))
+    return counted.select("official", F.coalesce("name", F.lit("")).alias("name"), F.when(F.col("name").isNull(), "skipped").otherwise("merged").alias("status"), "n_new")
