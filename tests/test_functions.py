@@ -135,3 +135,13 @@ def test_captions_and_skipped_sections(spark):
 def test_references(spark, texts):
     found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").select("i", markup.decoded(F.col("s")).alias("v")).collect()
     assert {r["i"]: r["v"] for r in found} == {i: html.unescape(t) for i, t in enumerate(texts)}
+
+
+def test_wiki_page(spark):
+    table = lambda *rows: "<table>" + "".join(f"<tr><td>{k}</td><td>{v}</td></tr>" for k, v in rows) + "</table>"
+    html_ = "<p>A short line that is long enough to be the description &amp; more.</p>" + table(("Category", "Tool"), ("Range", "<b>60</b> / 100"), ("Class", "Class")) + '<div id="toc"></div>'
+    html_ += "<h2>Game Two</h2>" + table(("Category", "Tool"), ("Damage", "30")) + "<h2>History</h2><p>It began.<sup>[1]</sup></p><ul><li>2d icon</li><li>Then more.</li></ul><h2>Gallery</h2><p>none</p>"
+    html_ += '<h2><span id="Names_in_other_languages">Names</span></h2><table><tr><td>Language</td><td>Name</td></tr><tr><td>Japanese:</td><td>甲</td></tr><tr><td></td><td>乙</td></tr></table>'
+    found = value(spark, markup.wiki_page(F.lit("T"), F.col("h"), ("Game One", "Game Two")), h=html_)
+    wanted = "# T\n\nA short line that is long enough to be the description & more.\n\n## Game Two\n\n- **Range**: 60/100\n\n## History\n\nIt began.\n\nThen more.\n\n## Names in Other Languages\n\n- **Japanese**: 甲\n- **Japanese**: 乙\n"
+    assert found == wanted

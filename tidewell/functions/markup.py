@@ -166,3 +166,14 @@ def markdown(title: Column, about: Column, infoboxes: Column, sections_: Column,
     named = F.when(F.size(names) > 0, F.array(F.concat(F.lit("## Names in Other Languages\n\n"), bullets(F.transform(names, lambda n: F.array(n["language"], n["name"])))))).otherwise(F.array().cast("array<string>"))
     lead = F.filter(F.array(F.concat(F.lit("# "), title), about), lambda x: F.coalesce(x, F.lit("")) != "")
     return F.concat(F.array_join(F.concat(lead, games, prose, named), "\n\n"), F.lit("\n"))
+
+
+def wiki_page(title: Column, html: Column, games: tuple[str, ...]) -> Column:
+    """The Markdown document of a wiki page: description, the figures of each game that has any (without the category), prose, names."""
+
+    def figures(game: str) -> Column:
+        own = F.map_filter(infobox(html, game), lambda k, _: F.lower(k) != "category")
+        return F.struct(F.lit(game).alias("game"), own.alias("fields"))
+
+    shown = F.filter(F.array(*[figures(g) for g in games]), lambda g: F.size(g["fields"]) > 0)
+    return markdown(title, description(html), shown, sections(html, games), language_names(html))
