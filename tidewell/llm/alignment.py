@@ -32,7 +32,7 @@ from tidewell.llm.tokens import RARE_SPACE, Encoder, byte_symbols, tokenizer_pat
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Text that goes in lockstep together, and text of a block of documents whose pairs are counted together.
-BATCH_BYTES, BLOCK_BYTES = 8 << 20, 64 << 20
+BATCH_BYTES, BLOCK_BYTES = 4 << 20, 64 << 20
 #: Links of a group beyond which its pairs are counted by distinct ids of both sides instead of link by link.
 LARGE_GROUP = 4_096
 
