@@ -6,7 +6,7 @@ frequent tokens last and rank the others by a hash of their own, so candidates m
 under independent orders, as often as the threshold demands (`needed`), before they are verified on whole sets.
 
 Candidates meet one more exact filter before whole sets are compared: each set has a bitmap of its tokens, a few bits a token, and two
-bitmaps cannot differ in more bits than the sets differ in tokens.
+bitmaps cannot differ in more bits than the sets differ in tokens. Bitmaps folded to a few longs are held against each other where pairs are made.
 
 Links are wanted only as far as they decide the components, so nodes that agree in a min-hash band are first verified against
 hubs among them: one in the first round, then, where a band still spans components, the most central node of each of HUBS hash
@@ -46,6 +46,8 @@ ROUNDS, HUBS = 2, 8
 #: One of so many nodes is looked at for frequent tokens; so many of them must have a token; so many tokens are put last at most.
 SAMPLED, FREQUENT, LAST = 16, 4, 500_000
 ORDERS = 2
+#: Longs of the bitmap that pairs are held against where they are made.
+FOLDED = 4
 SLICE = 512 << 10
 #: What a task gathers before it hands rows on, in bytes.
 HELD = 4 << 20
@@ -108,6 +110,13 @@ def bitmap(own: np.ndarray) -> np.ndarray:
     return np.packbits(bits)
 
 
+def folded(own: np.ndarray) -> np.ndarray:
+    """A bitmap of FOLDED longs, whatever the set's size: small enough to go with every row of the join."""
+    bits = np.zeros(64 * FOLDED, np.uint8)
+    bits[(own & np.uint64(64 * FOLDED - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> bool:
     """Whether sets with these bitmaps and sizes can be similar enough: what differs in bits differs in tokens."""
     while len(x) > len(y):
@@ -127,20 +136,22 @@ def minima(own: np.ndarray, by: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, key: str) -> DataFrame:
-    """key, own (a hash of the text), node (a hash of the set), n (its size), mins (the low halves of its min-hashes), bits (its bitmap)."""
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("own", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("mins", T.ArrayType(T.IntegerType())), T.StructField("bits", T.BinaryType())])
+    """key, own (a hash of the text), node (a hash of the set), n (its size), mins (the low halves of its min-hashes), bits (its bitmap) and f0.. (its folded bitmap)."""
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("own", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("mins", T.ArrayType(T.IntegerType())), T.StructField("bits", T.BinaryType()), *[T.StructField(f"f{k}", T.LongType()) for k in range(FOLDED)]])
     by = mix(np.arange(1000, 1000 + MINS, dtype=np.uint64)) | np.uint64(1)
 
     def rows(batches):
         for batch in batches:
-            node, n, mins, bits = [], [], [], []
+            node, n, mins, bits, folds = [], [], [], [], [np.zeros(0, np.int64)]
             for _, own in shingle_sets(batch.column(1)):
                 node.append(node_of(own))
                 n.append(len(own))
                 mins.append(minima(own, by))
                 bits.append(bitmap(own).tobytes() if len(own) else None)
+                folds.append(folded(own))
+            fold = np.concatenate(folds).reshape(-1, FOLDED)
             at = pa.array(np.arange(len(mins) + 1, dtype=np.int32) * MINS)
-            yield pa.RecordBatch.from_pydict({key: batch.column(0), "own": batch.column(2), "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), "mins": pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int32), *mins]))), "bits": pa.array(bits, pa.binary())})
+            yield pa.RecordBatch.from_pydict({key: batch.column(0), "own": batch.column(2), "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), "mins": pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int32), *mins]))), "bits": pa.array(bits, pa.binary())} | {f"f{k}": np.ascontiguousarray(fold[:, k]) for k in range(FOLDED)})
 
     return docs.select(key, "text", text_hash()).mapInArrow(tidied(rows), schema)
 
@@ -209,11 +220,14 @@ def candidates(rows: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame
     known = maybe_broadcast(comps.select("node", "component"))
     placed = rows.repartition("token").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     spread = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    kept = materialize(placed.join(spread.hint("shuffle_hash"), "token").join(nodes.select("node", "n"), "node"), "spread-rows")
-    x = kept.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = kept.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    folds = [f"f{k}" for k in range(FOLDED)]
+    kept = materialize(placed.join(spread.hint("shuffle_hash"), "token").join(nodes.select("node", "n", *folds), "node"), "spread-rows")
+    x = kept.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), *[F.col(f).alias(f"{f}a") for f in folds])
+    y = kept.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), *[F.col(f).alias(f"{f}b") for f in folds])
     near = (F.lit(PERCENT) * F.col("na") <= 100 * F.col("nb")) & (F.lit(PERCENT) * F.col("nb") <= 100 * F.col("na"))
-    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near)
+    differ = sum((F.bit_count(F.col(f"{f}a").bitwiseXOR(F.col(f"{f}b"))) for f in folds), F.lit(0))  # as `may_link`
+    able = F.lit(100 + PERCENT) * differ <= F.lit(100 - PERCENT) * (F.col("na") + F.col("nb"))
+    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near & able)
     counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("na").alias("na"), F.min("nb").alias("nb"))
     found = materialize(counted.where(F.col("shared") >= needed(F.col("na"), F.col("nb"))).drop("shared"), "candidates")
     discard(kept)
@@ -315,7 +329,7 @@ def hubs(nodes: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
 def grouped(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """The rows' sets, and label and component of each node."""
     made = materialize(sets(docs, key), "sets")
-    first = F.first(F.struct("mins", "bits")).alias("first")
+    first = F.first(F.struct("mins", "bits", *[f"f{k}" for k in range(FOLDED)])).alias("first")
     nodes = materialize(made.where("n > 0").groupBy("node").agg(F.min(key).alias("label"), F.max("n").alias("n"), first).select("node", "label", "n", "first.*"), "nodes")
     reps = only(docs, nodes, key)
     comps = None
