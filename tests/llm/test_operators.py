@@ -534,6 +534,22 @@ def test_decontamination_of_reordered_items(spark):
     assert all(1 in found[t] for t in texts[:8])
 
 
+def test_decontamination_files_fingerprints_alone(spark, monkeypatch):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    items = {i: item for i in range(40)} | {50: "other words stand in this item that nobody has copied"}
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    texts = [f"before {item} after", "nothing of it", item]
+    written = {}
+    monkeypatch.setattr(decontamination, "materialize", lambda df, label, f=decontamination.materialize: written.setdefault(label, f(df, label)))
+    found = {r["text"]: list(r["item_ids"]) for r in decontamination.mark(docs(spark, texts), benchmark).collect()}
+    assert found == {t: held(t, items) for t in texts} and list(map(len, found.values())).count(40) == 2
+    filed = written["item-blocks"]  # goes to every task, and through the driver, with some hundred rows for each fingerprint
+    assert {kind for _, kind in filed.dtypes} == {"bigint"} and filed.count() == 2 * 8 * 37
+    written.clear()
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)  # items that are too many to be broadcast
+    assert {r["text"]: list(r["item_ids"]) for r in decontamination.mark(docs(spark, texts), benchmark).collect()} == found
+
+
 # 8
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)

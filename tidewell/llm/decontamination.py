@@ -8,7 +8,7 @@
    Jaccard similarity is the multiset's weighted one, and a word that stands many times weighs no more than its places. It is cut into ``BLOCKS`` blocks of eight bits. Two
    fingerprints within ``RADIUS`` bits of each other differ in at most RADIUS // BLOCKS bits in one of these, so an item is filed in each
    block under all values so near its own, and windows look up items of their size by their own value: no pair within the
-   radius is missed. Then the distance is taken. Two sets at the threshold differ in ten bits on average, with a deviation of three, so a
+   radius is missed. Then the distance is taken. Only fingerprints are filed, some hundred times each; an item's shingles are held once. Two sets at the threshold differ in ten bits on average, with a deviation of three, so a
    radius of 23 is not expected to lose one in a hundred thousand.
 3. What is left is verified exactly: the weighted Jaccard similarity of the shingle multisets must reach ``PERCENT``.
 
@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialize, maybe_broadcast, unused
+from tidewell.llm.common import BROADCAST_ROWS, materialize, maybe_broadcast, unused
 
 WORDS = 5
 PERCENT = 80
@@ -102,12 +102,16 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", percent:
     spans = materialize(spans.withColumn("own", numbered(F.col("own"))), "sets")
     spans = materialize(spans.withColumn("print", simhash(F.col("own"))), "fingerprints")
     wanted = materialize(wanted.withColumn("own", numbered(F.col("own"))), "item-sets")
-    marked = wanted.withColumn("print", simhash(F.col("own")))
-    x = spans.select("row", "n_words", "own", "print", F.explode(blocks(F.col("print"))).alias("b")).select("row", "n_words", "own", "print", "b.*")
-    y = marked.select("item_id", "n_words", F.col("own").alias("theirs"), F.col("print").alias("their_print"), F.explode(blocks(F.col("print"), radius)).alias("b")).select("item_id", "n_words", "theirs", "their_print", "b.*")
-    y = maybe_broadcast(materialize(y, "item-blocks"))
-    met = x.join(y, ["n_words", "block", "bits"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("their_print"))) <= radius)
-    met = met.dropDuplicates(["row", "item_id", "own"])
+    marked = materialize(wanted.withColumn("print", simhash(F.col("own"))), "item-prints")
+    slot = ((F.col("n_words").cast("long") * BLOCKS + F.col("b.block")) * (1 << 64 // BLOCKS) + F.col("b.bits")).alias("slot")  # a size's block's value
+    x = spans.select("row", "n_words", "own", "print", F.explode(blocks(F.col("print"))).alias("b")).select("row", "n_words", "own", "print", slot)
+    y = marked.select("n_words", F.col("print").alias("their_print"), F.explode(blocks(F.col("print"), radius)).alias("b")).select(slot, "their_print")
+    y = maybe_broadcast(materialize(y.distinct(), "item-blocks"))
+    met = x.join(y, "slot").where(F.bit_count(F.col("print").bitwiseXOR(F.col("their_print"))) <= radius)
+    met = met.select("row", "n_words", "own", "their_print").dropDuplicates()
+    theirs = marked.select("item_id", "n_words", F.col("own").alias("theirs"), F.col("print").alias("their_print"))
+    held = theirs.agg(F.sum(F.size("theirs"))).first()[0]
+    met = met.join(F.broadcast(theirs) if held <= BROADCAST_ROWS else theirs, ["n_words", "their_print"])
     both = F.size(F.array_intersect("own", "theirs"))
     either = F.size("own") + F.size("theirs") - both
     return met.where(100 * both >= percent * either).select("row", "item_id").distinct()
