@@ -172,6 +172,18 @@ def test_markdown_files(spark, tmp_path):
     assert {p.name for p in to.iterdir()} == before  # neither files nor the staging folder
 
 
+def test_markdown_task_after_an_abort(tmp_path, monkeypatch):
+    class Task:
+        partitionId = taskAttemptId = staticmethod(lambda: 1)
+
+    monkeypatch.setattr(markdown.TaskContext, "get", Task)
+    writer = markdown.MarkdownSource({"path": str(tmp_path / "pages")}).writer(None, False)
+    writer.abort([])
+    with pytest.raises(OSError):
+        writer.write(iter([{"name": "a", "text": "late"}]))
+    assert list((tmp_path / "pages").iterdir()) == []
+
+
 def test_families_in_ranges(spark):
     rng = random.Random(2)
     own = {"".join(rng.choice("aab") for _ in range(rng.randint(0, 6))) + rng.choice(["", " D", "MG", "D", "（x"]) for _ in range(300)}

@@ -3,13 +3,14 @@
     spark.dataSource.register(MarkdownSource)
     pages.select("name", "text").write.format("markdown_files").mode("append").save(folder)
 
-A task writes below a staging folder of the write; the commit moves the files of the tasks that succeeded to their names, where they replace files of
+A task writes below a staging folder that the write begins with; the commit moves the files of the tasks that succeeded to their names, where they replace files of
 these names, and an abort removes the folder. So a failed write leaves no file and a repeated task no second one. Of rows with one name the last task's file
-stays. The folder may be any that pyarrow's file systems reach; executors have to share it.
+stays. Tasks that still run when the write is aborted cannot bring the staging folder back. The folder may be any that pyarrow's file systems reach; executors have to share it.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +24,9 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from tidewell.functions import text as X
 
+#: How often an abort or commit tries to remove the staging folder while tasks still add to it.
+CLEARS = 20
+
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
@@ -40,7 +44,7 @@ class MarkdownWriter(DataSourceWriter):
     def write(self, iterator: Iterator[Row]) -> Written:
         files, context = [], TaskContext.get()
         store, folder = opened(f"{self.staging}/{context.partitionId()}-{context.taskAttemptId()}")
-        store.create_dir(folder)
+        store.create_dir(folder, recursive=False)  # fails if an abort has removed the staging folder
         for i, row in enumerate(iterator):
             with store.open_output_stream(f"{folder}/{i}") as out:
                 out.write((row["text"] or "").encode())
@@ -59,8 +63,15 @@ class MarkdownWriter(DataSourceWriter):
 
     def _clear(self) -> None:
         store, folder = opened(self.staging)
-        if store.get_file_info(folder).type == fs.FileType.Directory:
-            store.delete_dir(folder)
+        for left in range(CLEARS, 0, -1):
+            try:
+                if store.get_file_info(folder).type == fs.FileType.Directory:
+                    store.delete_dir(folder)
+                return
+            except OSError:  # a task that still ran has added to it meanwhile
+                if left == 1:
+                    raise
+                time.sleep(0.05)
 
 
 class MarkdownSource(DataSource):
@@ -71,7 +82,10 @@ class MarkdownSource(DataSource):
     def writer(self, schema: T.StructType, overwrite: bool) -> MarkdownWriter:
         if overwrite:
             raise ValueError("files are replaced one by one: write in mode append")
-        return MarkdownWriter(self.options["path"])
+        made = MarkdownWriter(self.options["path"])
+        store, folder = opened(made.staging)
+        store.create_dir(folder)
+        return made
 
 
 def write_pages(pages: DataFrame, to: str, full_width: bool = False) -> None:
