@@ -534,6 +534,15 @@ def test_decontamination_of_reordered_items(spark):
     assert all(1 in found[t] for t in texts[:8])
 
 
+def test_blocks_need_little_code(spark):
+    prints = [0, -1, 1 << 63 - 8, -(1 << 63), 0x0123456789ABCDEF]
+    frame = spark.createDataFrame([(x,) for x in prints], "x long").select("x", F.explode(decontamination.blocks(F.col("x"), decontamination.RADIUS)).alias("b")).select("x", "b.*")
+    near = lambda v: {v ^ m for m in range(256) if m.bit_count() <= 2}
+    assert {tuple(r) for r in frame.collect()} == {(x, i, v) for x in prints for i in range(8) for v in near(x >> 8 * i & 255)}
+    stages = frame._jdf.queryExecution().debug().codegenToSeq()
+    assert sum(len(stages.apply(i)._2()) for i in range(stages.size())) < 50_000
+
+
 def test_decontamination_files_fingerprints_alone(spark, monkeypatch):
     item = "one two three four five six seven eight nine ten eleven twelve"
     items = {i: item for i in range(40)} | {50: "other words stand in this item that nobody has copied"}

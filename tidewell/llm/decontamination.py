@@ -59,11 +59,16 @@ def simhash(own: Column) -> Column:
 
 
 def blocks(fingerprint: Column, radius: int = 0) -> Column:
-    """(number, value) of each block of bits; with a radius, all values within radius // BLOCKS bits of a block's own."""
+    """(number, value) of each block of bits; with a radius, all values within radius // BLOCKS bits of a block's own.
+
+    Made from a constant array of numbers and masks: as an expression for each of the some hundred pairs, the code that Spark
+    generates takes hundreds of MB to compile, in the driver and in each executor.
+    """
     width = 64 // BLOCKS
     masks = [sum(1 << b for b in own) for n in range(radius // BLOCKS + 1) for own in combinations(range(width), n)]
-    value = lambda i: F.shiftrightunsigned(fingerprint, width * i).bitwiseAND((1 << width) - 1)
-    return F.array(*[F.struct(F.lit(i).alias("block"), value(i).bitwiseXOR(m).alias("bits")) for i in range(BLOCKS) for m in masks])
+    number = lambda c: F.shiftright(c, width)
+    value = lambda c: F.call_function("shiftrightunsigned", fingerprint, number(c) * width).bitwiseXOR(c.cast("long")).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    return F.transform(F.array(*[F.lit(i << width | m) for i in range(BLOCKS) for m in masks]), lambda c: F.struct(number(c).alias("block"), value(c).alias("bits")))
 
 
 def items(benchmark: DataFrame, key: str = "item_id") -> DataFrame:
