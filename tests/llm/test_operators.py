@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewell.llm import components, decontamination, embedding_dedup, html_extract, jaccard_join, packing, queries, secrets, sharding, token_counts, token_output, tokens, toxicity
+from tidewell.llm import common, components, decontamination, embedding_dedup, html_extract, jaccard_join, packing, queries, secrets, sharding, token_counts, token_output, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, found int, kinds string"
@@ -670,3 +670,31 @@ def test_index_blocks():
     have, ask = index.files(x)
     near = (bits[:, None] != bits[None]).sum(axis=3).min(axis=2) <= embedding_dedup.PROBED
     assert all(bool(set(ask[i]) & set(have[j])) == near[i, j] for i in range(40) for j in range(500))
+
+
+def test_rounded_vectors_bound_the_cosine():
+    rng = np.random.default_rng(3)
+    for d in (1, 2, 64, 1000):
+        x = embedding_dedup.unit(rng.normal(size=(400, d)) * rng.choice([1e-6, 1, 30], size=(400, d)) if d > 2 else rng.normal(size=(400, d)))
+        y = embedding_dedup.unit(x + rng.normal(size=(400, d)) * rng.choice([0, 1e-9, 0.01, 0.3], size=(400, 1)) / d**0.5)
+        cosines, most = (x * y).sum(axis=1), embedding_dedup.bound(embedding_dedup.rounded(x), embedding_dedup.rounded(y))
+        assert (most >= cosines).all()
+    x, y = (embedding_dedup.unit(rng.normal(size=(400, 64))) for _ in range(2))
+    assert (embedding_dedup.bound(embedding_dedup.rounded(x), embedding_dedup.rounded(y)) - (x * y).sum(axis=1)).max() < 0.05
+
+
+def test_strangers_are_not_shuffled_as_doubles(spark):
+    """Candidates that are far from each other, as most are, leave before whole vectors are joined to them."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def shuffled():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    rng, before = np.random.default_rng(8), shuffled()
+    rows = list(enumerate(rng.normal(size=(2000, 64)).tolist()))
+    with common.settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        found = of_vectors(embedding_dedup.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert found == {i: (0, i, True) for i, _ in rows}
+    most = max(size for stage, size in shuffled().items() if stage not in before)
+    assert most < 2 * 2000 * 64 * 8

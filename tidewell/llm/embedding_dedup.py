@@ -10,7 +10,8 @@ values within ``PROBED`` bits of its own. So every pair of which some block diff
 pairs whose codes are within blocks * (PROBED + 1) - 1 bits are, and others as it happens. The width of a block follows the number of
 vectors, so that tables stay sparse; the number of blocks is what the sample needs, with neighbours made at the threshold itself, to miss
 no more than ``MISSED`` of them. Blocks go in rounds, so that the asks that are shuffled at a time stay in proportion to the vectors however many blocks it takes. Candidates are reranked by the cosine of the original vectors in double precision, so no link is below
-the threshold.
+the threshold. Most candidates are strangers, and a vector's doubles are long: each vector is first rounded to a byte a component, and a candidate goes on to the
+rerank only if the bound of its cosine that follows from the rounded ones and from what rounding took off reaches the threshold, so that no link is lost there.
 
 Vectors of different lengths are never compared; each length has an index of its own, for which a sample of its own is
 taken, so the driver holds SAMPLE vectors for each length.
@@ -43,6 +44,8 @@ ROUNDS, LEAST_WIDTH, PROBED = 30, 12, 1
 ASKED = 1
 #: Blocks beyond which centring is given up.
 MOST = 128
+#: What double precision may take from a bound, and more.
+SLACK = 1e-9
 SEED = 20240229
 
 
@@ -136,8 +139,23 @@ def nodes(vectors: DataFrame, key: str, column: str) -> DataFrame:
     return vectors.select(key, column).mapInArrow(tidied(rows), schema)
 
 
-def matrix(column) -> np.ndarray:
-    return np.stack([np.frombuffer(x.as_buffer(), np.float64) for x in column]) if len(column) else np.zeros((0, 1))
+def matrix(column, kind: type = np.float64) -> np.ndarray:
+    return np.stack([np.frombuffer(x.as_buffer(), kind) for x in column]) if len(column) else np.zeros((0, 1), kind)
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Unit vectors as bytes: the step and the length of what rounding took off (float32 both), then a byte of so many steps for each component."""
+    step = (np.abs(x).max(axis=1) / 127).astype(np.float32)
+    steps = np.rint(x / step[:, None]).astype(np.int8)
+    off = np.linalg.norm(x - steps * step[:, None].astype(np.float64), axis=1).astype(np.float32)
+    return np.hstack([np.stack([step, np.nextafter(off, np.float32(np.inf))], axis=1).view(np.uint8), steps.view(np.uint8)])
+
+
+def bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What the cosines of vectors, given as `rounded` has them, are not above: xy = x'y' + (x - x')y + x'(y - y'), and x' is no longer than 1 + |x - x'|."""
+    (step, off), (other, lost) = (z[:, :8].copy().view(np.float32).astype(np.float64).T for z in (x, y))
+    product = (x[:, 8:].view(np.int8).astype(np.int16) * y[:, 8:].view(np.int8)).sum(axis=1, dtype=np.int64)
+    return product * step * other + off + (1 + off) * lost + SLACK
 
 
 def near(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", cosine: float = COSINE, missed: float = MISSED) -> DataFrame:
@@ -165,6 +183,22 @@ def near(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", cos
 
         return each.select("node", "size", "vector").mapInArrow(tidied(rows), "node long, bucket long")
 
+    def brief(batches):
+        for batch in batches:
+            sizes = batch.column("size").to_numpy()
+            for size in np.unique(sizes).tolist():
+                if size in shared_indexes.value:
+                    part = batch.filter(pa.array(sizes == size))
+                    yield pa.RecordBatch.from_pydict({"node": part.column("node"), "size": part.column("size"), "brief": pa.array([x.tobytes() for x in rounded(unit(matrix(part.column("vector"))))], pa.binary())})
+
+    def possible(batches):
+        for batch in batches:
+            sizes = batch.column("m").to_numpy()
+            for size in np.unique(sizes).tolist():
+                part = batch.filter(pa.array(sizes == size))
+                keep = bound(matrix(part.column("x"), np.uint8), matrix(part.column("y"), np.uint8)) >= cosine
+                yield part.select(["a", "b"]).filter(pa.array(keep))
+
     def similar(batches):
         for batch in batches:
             sizes = batch.column("m").to_numpy()
@@ -182,9 +216,17 @@ def near(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", cos
         discard(tables)
     pairs = some[0] if of == 1 else materialize(reduce(DataFrame.union, some).distinct(), "pairs")
     size = each.select("node", "size", "vector")
-    both = pairs.join(size.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("vector").alias("x")), "a").join(size.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("vector").alias("y")), "b")
-    links = materialize(both.where("m = n").select("a", "b", "m", "x", "y").mapInArrow(tidied(similar), "a long, b long"), "links")
-    discard(pairs, *some)
+    briefs = materialize(size.mapInArrow(tidied(brief), "node long, size int, brief binary"), "briefs")
+
+    def narrowed(found: DataFrame, sides: DataFrame, what: str, keep, label: str) -> DataFrame:
+        """Those of the pairs found that keep leaves; it gets the column what of both nodes."""
+        x, y = (sides.select(F.col("node").alias(end), F.col("size").alias(long), F.col(what).alias(own)) for end, long, own in (("a", "m", "x"), ("b", "n", "y")))
+        return materialize(found.join(x, "a").join(y, "b").where("m = n").select("a", "b", "m", "x", "y").mapInArrow(tidied(keep), "a long, b long"), label)
+
+    close = narrowed(pairs, briefs, "brief", possible, "close")
+    discard(pairs, *some, briefs)
+    links = narrowed(close, size, "vector", similar, "links")
+    discard(close)
     copies = each.select("node", "label", "copies")
     ways = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counted = ways.join(copies.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
