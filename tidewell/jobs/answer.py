@@ -78,17 +78,22 @@ def retrieved(questions: DataFrame, chunks: DataFrame, k: int, per_source: int,
 
     With a dense side both scores are scaled by their largest over all chunks and mixed before anything is filtered; a question that the model gives no vector is found by terms alone.
     """
+    return search.texts(ranked(questions, chunks, k, per_source, names, segmenter, dense), chunks)
+
+
+def ranked(questions: DataFrame, chunks: DataFrame, k: int, per_source: int, names: DataFrame | None = None, segmenter: Segmenter | None = None, dense: Dense | None = None) -> DataFrame:
+    """`retrieved` without the texts. Without a dense side only rows that can be among a question's best leave a task."""
+    columns = ["qid", *index.ID, "source", "score", "rank"]
+    if dense is None:
+        return search.diverse(questions, chunks, k, per_source, names, segmenter).select(*columns)
     scored = search.scores(questions, chunks, segmenter)
-    if dense is not None:
-        vectors = vectors_of(questions.select("qid", F.col("question").alias("text")), dense.encode).select("qid", "embedding")
-        close = cosines(vectors, dense.vectors.select(F.struct(*index.ID).alias("vec_id"), "embedding")).select("qid", "vec_id.*", "score")
-        scored = search.fused(scored, close, dense.weight, index.ID)
-    scored = scored.where("score > 0")
+    vectors = vectors_of(questions.select("qid", F.col("question").alias("text")), dense.encode).select("qid", "embedding")
+    close = cosines(vectors, dense.vectors.select(F.struct(*index.ID).alias("vec_id"), "embedding")).select("qid", "vec_id.*", "score")
+    scored = search.fused(scored, close, dense.weight, index.ID).where("score > 0")
     if names is not None:
         scored = search.of_names(settled(scored), chunks, names)
     placed = scored.join(chunks.select(*index.ID, "source", F.xxhash64("text").alias("same")), index.ID)
-    best = search.diversified(placed, k, per_source, same="same")
-    return best.select("qid", *index.ID, "source", "score", "rank").join(chunks.select(*index.ID, "text"), index.ID)
+    return search.diversified(placed, k, per_source, same="same").select(*columns)
 
 
 def understood(questions: DataFrame, glossary: Column | None, names: DataFrame | None, reference: str | None) -> tuple[DataFrame, DataFrame | None]:
