@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -78,6 +79,17 @@ def decoded(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
+#: The references that SQL can decode, one after the other; the ampersand last, so that what it gives is not read again.
+LISTED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&#91;", "["), ("&#93;", "]"), ("&amp;", "&"))
+
+
+def listed(text: Column) -> Column:
+    """The listed references decoded, each with its semicolon; all others stay, `&amp` without one too."""
+    for reference, character in LISTED:
+        text = F.replace(text, F.lit(reference), F.lit(character))
+    return text
+
+
 def spaced(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
 
@@ -87,10 +99,10 @@ def plain(html: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(html, r"<br\s*/?>", "\n"), r"<[^>]+>", ""))
 
 
-def stripped(html: Column) -> Column:
+def stripped(html: Column, decode: Callable[[Column], Column] = decoded) -> Column:
     """One line of text: comments, footnote marks and tags go, entities are decoded, edit links go, white space collapses."""
-    text = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), r"<sup[^>]*>.*?</sup>", "")
-    text = F.regexp_replace(decoded(F.regexp_replace(text, r"<[^>]+>", " ")), r"\[\s*edit\s*\]", "")
+    text = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), r"<sup[^>]*>[^\n]*?</sup>", "")
+    text = F.regexp_replace(decode(F.regexp_replace(text, r"<[^>]+>", " ")), r"\[\s*edit\s*\]", "")
     return spaced(F.regexp_replace(text, r"-->\s*Continue Dismiss\s*<!--", ""))
 
 
@@ -103,17 +115,17 @@ def inner(html: Column, tag: str, attributes: bool = False) -> Column:
     return F.regexp_extract_all(html, F.lit(rf"(?s)<{tag}{'[^>]*' if attributes else ''}>(.*?)</{tag}>"), F.lit(1))
 
 
-def description(html: Column) -> Column:
+def description(html: Column, decode: Callable[[Column], Column] = decoded) -> Column:
     """The last paragraph of more than 30 characters before the table of contents that is no pointer to other pages; empty if none."""
     at = F.instr(html, F.lit('<div id="toc"'))
     head = F.when(at > 0, F.left(html, at - 1)).otherwise(html)
-    texts = F.filter(F.transform(inner(head, "p"), stripped), lambda t: (F.length(t) > 30) & ~F.startswith(t, F.lit("For other")))
+    texts = F.filter(F.transform(inner(head, "p"), lambda p: stripped(p, decode)), lambda t: (F.length(t) > 30) & ~F.startswith(t, F.lit("For other")))
     return F.coalesce(F.try_element_at(texts, F.lit(-1)), F.lit(""))
 
 
-def items(html: Column) -> Column:
+def items(html: Column, decode: Callable[[Column], Column] = decoded) -> Column:
     """Texts of all paragraphs, then of all list items; empty ones go."""
-    return F.filter(F.transform(F.concat(inner(html, "p"), inner(html, "li")), lambda x: uncited(stripped(x))), lambda t: t != "")
+    return F.filter(F.transform(F.concat(inner(html, "p"), inner(html, "li")), lambda x: uncited(stripped(x, decode))), lambda t: t != "")
 
 
 def sections(html: Column, games: tuple[str, ...] = (), captions: str = "(?i)" + "|".join(CAPTIONS)) -> Column:
