@@ -52,3 +52,9 @@ def joins(df):
 def test_retrieval_joins_no_scores(spark):
     """Before, every score of a question with every chunk of its sources met the chunks and the filters in joins that shuffled them all."""
     assert joins(q.QUERIES["question_retrieval"](spark, SF)) == 0
+
+
+def test_context_shuffles_no_chunks(spark):
+    """Texts come by one join, to which the best rows are broadcast."""
+    plan = q.QUERIES["context_assembly"](spark, SF)
+    assert joins(plan) == 1 and "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
