@@ -58,3 +58,7 @@ def test_context_shuffles_no_chunks(spark):
     """Texts come by one join, to which the best rows are broadcast."""
     plan = q.QUERIES["context_assembly"](spark, SF)
     assert joins(plan) == 1 and "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_diversified_joins_no_scores(spark):
+    assert joins(q.QUERIES["diversified_topk"](spark, SF)) == 0
