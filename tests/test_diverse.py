@@ -62,3 +62,7 @@ def test_context_shuffles_no_chunks(spark):
 
 def test_diversified_joins_no_scores(spark):
     assert joins(q.QUERIES["diversified_topk"](spark, SF)) == 0
+
+
+def test_hit_files_joins_no_scores(spark):
+    assert joins(q.QUERIES["hit_files"](spark, SF)) == 0
