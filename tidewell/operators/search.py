@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions import text as X
-from tidewell.functions.segment import Segmenter
+from tidewell.functions.segment import Segmenter, cut, slices
 from tidewell.operators.index import ID
 from tidewell.session import settled
 
@@ -51,7 +51,7 @@ def met(chunks: DataFrame, terms: list[str], segmenter: Segmenter | None = None,
     known = spark.sparkContext.broadcast(terms)
 
     def counted(batches):
-        names = pa.array(known.value, pa.string())
+        names, kept = pa.array(known.value, pa.string()), {}
         for batch in batches:
             if once:
                 batch = first_copies(batch)
@@ -59,14 +59,23 @@ def met(chunks: DataFrame, terms: list[str], segmenter: Segmenter | None = None,
             total = tokens.value_lengths().fill_null(0).to_numpy().astype(np.int64)
             own = tokens.flatten().dictionary_encode()
             place = pc.fill_null(pc.index_in(own.dictionary, names), -1).to_numpy()[own.indices.to_numpy()].astype(np.int64)
-            row = np.repeat(np.arange(len(total)), total)[place >= 0]
-            key, n = np.unique(row * (len(names) + 1) + place[place >= 0], return_counts=True)
+            row = np.repeat(np.arange(len(total)), total)
+            if segmenter is not None:
+                at = 0
+                for some in slices(batch.column("spans")):
+                    own, words, sizes = cut(some, segmenter.terms, kept)
+                    words = pc.fill_null(pc.index_in(own, names), -1).to_numpy()[words].astype(np.int64)
+                    total[at : at + len(some)] += sizes
+                    row, place = np.concatenate((row, np.repeat(np.arange(at, at + len(some)), sizes)[words >= 0])), np.concatenate((place, words[words >= 0]))
+                    at += len(some)
+            key, n = np.unique(row[place >= 0] * (len(names) + 1) + place[place >= 0], return_counts=True)
             row, place = np.divmod(key, len(names) + 1)
             ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(total))))), pa.int32())
             lists = pa.ListArray.from_arrays(ends, pa.array(place, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(n / total[row], pa.float64()))
             yield pa.RecordBatch.from_arrays([*map(batch.column, [*ID, *more]), *lists], [*ID, *more, "at", "tf"])
 
-    own = chunks.select(*ID, *(["source", F.unhex(F.md5("text")).alias("same")] if once else []), X.tokens(F.col("text"), segmenter).alias("tokens"))
+    text = [X.tokens(F.col("text")).alias("tokens"), *([segmenter.spans(F.col("text")).alias("spans")] if segmenter is not None else [])]
+    own = chunks.select(*ID, *(["source", F.unhex(F.md5("text")).alias("same")] if once else []), *text)
     kinds = ", ".join([*(f"{c} {own.schema[c].dataType.simpleString()}" for c in [*ID, *more] if c != "n"), *(["n bigint"] if once else [])])
     return settled(own.mapInArrow(counted, f"{kinds}, at array<int>, tf array<double>"))
 
